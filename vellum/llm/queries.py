@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import sharding, simhash
+from . import oph, quality_compression, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op3_quality_classifier": quality_compression.op3_quality_classifier,
         "op9_sharding": sharding.op9_sharding,
+        "op10_fingerprints": oph.op10_fingerprints,
     }
 
 
