@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import oph, quality_compression, sharding, simhash
+from . import decision_list, oph, quality_compression, sharding, simhash, url_reputation
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op2_url_filters": url_reputation.op2_url_filters,
         "op3_quality_classifier": quality_compression.op3_quality_classifier,
+        "op4_quality_rules": decision_list.op4_quality_rules,
         "op9_sharding": sharding.op9_sharding,
         "op10_fingerprints": oph.op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filters": url_reputation.ORACLE}
