@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decision_list, oph, quality_compression, sharding, simhash, url_reputation
+from . import decision_list, language_profiles, oph, quality_compression, sharding, simhash, url_reputation
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_url_filters": url_reputation.op2_url_filters,
         "op3_quality_classifier": quality_compression.op3_quality_classifier,
         "op4_quality_rules": decision_list.op4_quality_rules,
+        "op5_language_id": language_profiles.op5_language_id,
         "op9_sharding": sharding.op9_sharding,
         "op10_fingerprints": oph.op10_fingerprints,
     }
