@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decision_list, language_profiles, oph, piece_matching, quality_compression, sharding, simhash, url_reputation
+from . import decision_list, language_profiles, licences, mixing, oph, piece_matching, quality_compression, sharding, simhash, url_reputation
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op4_quality_rules": decision_list.op4_quality_rules,
         "op5_language_id": language_profiles.op5_language_id,
         "op6_sentencepiece": piece_matching.op6_sentencepiece,
+        "op7_licence_scans": licences.op7_licence_scans,
+        "op8_mixing": mixing.op8_mixing,
         "op9_sharding": sharding.op9_sharding,
         "op10_fingerprints": oph.op10_fingerprints,
     }
