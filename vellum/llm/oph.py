@@ -8,8 +8,10 @@ share of equal digits, less what chance gives, estimates the Jaccard likeness of
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -102,10 +104,6 @@ def likeness(a: str, b: str) -> float:
 
 def with_fingerprint(docs: DataFrame, name: str = "fingerprint", text_col: str = "text") -> DataFrame:
     """docs with the fingerprint of every whole text; no shuffle. Null text counts as empty."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

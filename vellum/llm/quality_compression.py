@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -135,8 +136,6 @@ def score_documents(docs: DataFrame, model: CompressionModel | None, id_col: str
 
 def with_score(docs: DataFrame, model: CompressionModel | None, name: str, text_col: str = "text") -> DataFrame:
     """docs with a column of scores; no shuffle. Null text counts as empty."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = model.scorer() if model else lambda _: 0.5
