@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import text_queries
+    from . import corpus_queries, geometry_queries, text_queries
 
-    return [text_queries]
+    return [text_queries, corpus_queries, geometry_queries]
 
 
 def queries() -> dict:

@@ -205,7 +205,7 @@ select doc_id, coalesce(n_rows, 0)::int as n_rows, coalesce(n_filled, 0)::int as
     "numeric_tokens": f"with {_PAIRS} select doc_id, len(list_filter(regexp_extract_all(out, '\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)*'), lambda x: length(x) >= 2))::int as n_numbers from p",
     "safe_stem": f"""with s as (select *, regexp_extract(url, '([^/\\\\]*)$', 1) as last from pages), t as (select *, {sql_strip("regexp_replace(regexp_replace(last, '\\.[^.]*$', ''), '[^\\p{L}\\p{N}_\\-. ]', '_', 'g')")} as st, lower(regexp_extract(url, '\\.([^.]*)$', 1)) as ext from s)
 select page_id, case when st = '' then 'file' else st end as stem, coalesce(case ext {" ".join(f"when '{k}' then '{v}'" for k, v in T.BADGES.items())} when '' then 'DOC' end, upper(ext[1:3])) as badge,
-  printf('%.1f KB', length(html) / 1024) as size_label, regexp_matches(url, '^https://.+[^/]$') as is_https from t""",
+  printf('%.1f KB', floor(length(html) / 1024 * 10 + 0.5) / 10) as size_label, regexp_matches(url, '^https://.+[^/]$') as is_https from t""",
     "token_savings": """with o as (select o_orderkey, case o_orderkey % 7 when 0 then '.docx' when 1 then '.pptx' else '.pdf' end as suffix, o_custkey % 12 as units, case when o_orderkey % 5 <> 0 then trunc(o_totalprice)::bigint % 30000 end as after from orders),
 b as (select *, case when suffix <> '.docx' then units * 2250 end as before from o), p as (select *, floor((1 - after / nullif(before, 0)) * 100 + 0.5)::bigint as pct from b)
 select o_orderkey, before as tokens_before, case suffix when '.pdf' then 'page' when '.pptx' then 'slide' end as unit, case when pct > 0 then least(pct, 100) end as savings from p""",
