@@ -8,14 +8,15 @@ from vellum.functions import text as T
 from vellum.operators import geometry as G
 from vellum.operators import render as R
 from vellum.plans.text_queries import sql_strip, table
+from vellum.sources import html
 
 #: 2000 pages; boxes are lineitems, characters are made of orders, six of each.
-_BOX = "(l_orderkey % 2000) as doc_id, 1 as page_no, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey as grid_id, (l_partkey * 37) % 300 * 100 as x0, (l_suppkey * 91 + l_linenumber * 70) % 500 * 100 as top, (l_partkey * 37) % 300 * 100 + (cast(l_quantity as int) % 25 + 2) * 1500 as x1, (l_suppkey * 91 + l_linenumber * 70) % 500 * 100 + (l_partkey % 20 + 1) * 1500 as bottom, l_linenumber as row, l_partkey % 3 as col"
+_BOX = "(l_orderkey % 2000) as doc_id, 1 as page_no, (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey) * 100 + cast(l_quantity as int) as grid_id, (l_partkey * 37) % 300 * 100 as x0, (l_suppkey * 91 + l_linenumber * 70) % 500 * 100 as top, (l_partkey * 37) % 300 * 100 + (cast(l_quantity as int) % 25 + 2) * 1500 as x1, (l_suppkey * 91 + l_linenumber * 70) % 500 * 100 + (l_partkey % 20 + 1) * 1500 as bottom, l_linenumber as row, l_partkey % 3 as col"
 _CHAR = "o_orderkey % 2000 as doc_id, 1 as page_no, o_orderkey * 10 + k as char_seq, (o_custkey * 131 + k * 1733) % 550 * 100 as x0, (o_orderkey * 17 + k * 2999) % 700 * 100 as top, (o_custkey * 131 + k * 1733) % 550 * 100 + 500 as x1, (o_orderkey * 17 + k * 2999) % 700 * 100 + 1000 as bottom, (o_custkey + k) % 5 <> 0 as upright, substring(o_orderpriority, k + 1, 1) as text, 1000 as size"
 
 
 def boxes(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").selectExpr(*_split(_BOX))
+    return table(spark, sf_dir, "lineitem").selectExpr(*_split(_BOX)).distinct()
 
 
 def chars(spark, sf_dir):
@@ -164,7 +165,13 @@ def variant_sweep(spark, sf_dir):
     return out.groupBy("mode").agg(F.count("*").alias("n_docs"), *[F.sum(c).alias(c) for c in ("glued", "pipe_rows", "blobs", "n")])
 
 
-_B, _C = f"b as (select {_BOX} from lineitem)", f"c as (select {_CHAR} from orders, range(0, 6) r(k))"
+def html_to_markdown(spark, sf_dir):
+    """[SC9-route, SRC9, CMP5] Every page by the generic reader."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", html.markdown(F.col("html")).alias("text")).select("page_id", "text", F.length("text").alias("n_chars"))
+
+
+_B, _C = f"b as (select distinct {_BOX} from lineitem)", f"c as (select {_CHAR} from orders, range(0, 6) r(k))"
 _HALF = "c.x0 + c.x1 >= 2 * b.x0 and c.x0 + c.x1 < 2 * b.x1 and c.top + c.bottom >= 2 * b.top and c.top + c.bottom < 2 * b.bottom"
 _CLOSED = _HALF.replace("<", "<=")
 _ENC = "(o.x1 - o.x0) * (o.bottom - o.top) > (i.x1 - i.x0) * (i.bottom - i.top) and o.x0 - {0} <= i.x0 and o.top - {0} <= i.top and o.x1 + {0} >= i.x1 and o.bottom + {0} >= i.bottom"
@@ -210,4 +217,4 @@ select doc_id, md5(text) as digest, (n + 1)::int as n_lines from t""",
 select doc_id, count(*) as units, count(*) * 2250 as tokens_before, md5({sql_strip("coalesce(string_agg(text, E'\\n\\n' order by k) filter (text <> ''), '')")}) as digest from p group by doc_id""",
     "render_page": f"select o_orderkey as doc_id, {_PAGE_TEXT} as text from orders where o_orderkey % 10 = 0",
 }
-QUERIES = {k: globals()[k] for k in ORACLE} | {"variant_sweep": variant_sweep}
+QUERIES = {k: globals()[k] for k in ORACLE} | {"variant_sweep": variant_sweep, "html_to_markdown": html_to_markdown}

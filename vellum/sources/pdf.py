@@ -1,0 +1,482 @@
+"""PDF files as relations: pages, characters, words and ruled cells.  [SRC5, SRC8]
+
+A small reader for the common case: plain and Flate streams, object streams, inherited page attributes, simple fonts with
+their widths (the Helvetica family's are built in), ToUnicode maps, straight rulings and rectangles. Encrypted files, scans
+and forms of compression beyond Flate give pages without characters. Rulings become cells by Nurminen's method: edges are
+aligned and joined, their crossings found, and the smallest rectangle from each crossing is a cell; cells that share a corner
+are a grid. Overlapping cells are reported, not resolved.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections import defaultdict
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Advance widths of Helvetica, ASCII 32 to 126, in thousandths (fixed values of the standard font metrics).
+HELVETICA = (
+    278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556,
+    556, 556, 278, 278, 584, 584, 584, 556, 1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778,
+    667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556, 333, 556, 556, 500, 556, 556, 278, 556,
+    556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,
+)
+DESCENT = -0.207
+ALIGN = 3.0
+SCHEMA = "doc_id string, kind string, page_no int, seq long, grid_id int, row int, col int, x0 double, top double, x1 double, bottom double, text string, size double, upright boolean"
+
+_TOKEN = re.compile(rb"\s*(?:%[^\r\n]*[\r\n]\s*)*(<<|>>|\[|\]|/[^\s<>\[\](){}/%]*|\(|<[0-9A-Fa-f\s]*>|[+-]?(?:\d+\.?\d*|\.\d+)|[^\s<>\[\](){}/%]+|[{})])")
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+class Name(str):
+    pass
+
+
+@dataclass(frozen=True)
+class Ref:
+    n: int
+
+
+class Op(str):
+    pass
+
+
+def _string(data: bytes, i: int) -> tuple[bytes, int]:
+    """A literal string that opens just before i."""
+    out, depth = bytearray(), 1
+    while i < len(data):
+        c = data[i : i + 1]
+        if c == b"\\":
+            octal = re.compile(rb"[0-7]{1,3}").match(data, i + 1)
+            if octal:
+                out.append(int(octal.group(), 8) & 255)
+                i = octal.end()
+                continue
+            c = data[i + 1 : i + 2]
+            out += b"" if c in b"\r\n" else _ESCAPES.get(c, c)
+            i += 2
+            continue
+        depth += (c == b"(") - (c == b")")
+        if not depth:
+            return bytes(out), i + 1
+        out += c
+        i += 1
+    return bytes(out), i
+
+
+def tokens(data: bytes, i: int = 0):
+    """(value, end) of each object or operator."""
+    stack: list[list] = []
+    while m := _TOKEN.match(data, i):
+        t, i = m.group(1), m.end()
+        if t in (b"<<", b"["):
+            stack.append([t])
+            continue
+        if t in (b">>", b"]"):
+            if not stack:
+                continue
+            own = _with_refs(stack.pop()[1:])
+            v = own if t == b"]" else {own[k]: own[k + 1] for k in range(0, len(own) - 1, 2) if isinstance(own[k], Name)}
+        elif t == b"(":
+            v, i = _string(data, i)
+        elif t[:1] == b"<":
+            h = re.sub(rb"\s", b"", t[1:-1])
+            v = bytes.fromhex((h + b"0" * (len(h) % 2)).decode())
+        elif t[:1] == b"/":
+            v = Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), t[1:]).decode("latin-1"))
+        elif re.fullmatch(rb"[+-]?(?:\d+\.?\d*|\.\d+)", t):
+            v = float(t) if b"." in t else int(t)
+        else:
+            v = {b"true": True, b"false": False, b"null": None}.get(t, Op(t.decode("latin-1")))
+        if stack:
+            stack[-1].append(v)
+        else:
+            yield v, i
+
+
+def _with_refs(items: list) -> list:
+    out: list = []
+    for x in items:
+        if isinstance(x, Op) and x == "R" and len(out) >= 2 and isinstance(out[-2], int):
+            out[-2:] = [Ref(out[-2])]
+        else:
+            out.append(x)
+    return out
+
+
+class Document:
+    def __init__(self, data: bytes):
+        if b"%PDF" not in data[:1024]:
+            raise ValueError("no PDF header")
+        self.objects: dict[int, tuple] = {}
+        for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b", data):
+            value, end = next(tokens(data, m.end()), (None, m.end()))
+            stream = None
+            if isinstance(value, dict) and (s := re.compile(rb"\s*stream\r?\n").match(data, end)):
+                n = value.get("Length")
+                stop = s.end() + n if isinstance(n, int) and data[s.end() + n : s.end() + n + 20].lstrip().startswith(b"endstream") else data.find(b"endstream", s.end())
+                stream = data[s.end() : stop if stop >= 0 else len(data)]
+            elif isinstance(value, int) and (r := re.compile(rb"\s*(\d+)\s+R\b").match(data, end)):
+                value = Ref(value)
+            self.objects[int(m[1])] = (value, stream)
+        for value, stream in list(self.objects.values()):
+            if isinstance(value, dict) and value.get("Type") == "ObjStm" and stream is not None:
+                self._unpack(value, self._inflate(value, stream))
+
+    def _unpack(self, head: dict, body: bytes) -> None:
+        numbers = [int(x) for x in body[: self.get(head["First"])].split()[: 2 * self.get(head["N"])]]
+        for n, at in zip(numbers[::2], numbers[1::2]):
+            self.objects.setdefault(n, (next(tokens(body, self.get(head["First"]) + at), (None, 0))[0], None))
+
+    def get(self, x):
+        for _ in range(20):
+            if not isinstance(x, Ref):
+                return x
+            x = self.objects.get(x.n, (None, None))[0]
+        return None
+
+    def _inflate(self, head: dict, stream: bytes) -> bytes:
+        filters = self.get(head.get("Filter")) or []
+        for f in filters if isinstance(filters, list) else [filters]:
+            if f not in ("FlateDecode", "Fl"):
+                return b""
+            stream = zlib.decompressobj().decompress(stream)
+        return stream
+
+    def stream(self, x) -> bytes:
+        if isinstance(self.get(x), list):
+            return b"\n".join(self.stream(y) for y in self.get(x))
+        head, body = self.objects.get(x.n, (None, None)) if isinstance(x, Ref) else (None, None)
+        return self._inflate(head, body) if body is not None else b""
+
+    def pages(self) -> list[dict]:
+        top = next((v for v, _ in self.objects.values() if isinstance(v, dict) and v.get("Type") == "Catalog"), {})
+        out: list[dict] = []
+
+        def walk(ref, held: dict, seen: frozenset) -> None:
+            node = self.get(ref)
+            if not isinstance(node, dict) or (isinstance(ref, Ref) and ref.n in seen):
+                return
+            held = held | {k: node[k] for k in ("MediaBox", "Resources", "Rotate") if k in node}
+            if "Kids" in node:
+                for kid in self.get(node["Kids"]) or []:
+                    walk(kid, held, seen | ({ref.n} if isinstance(ref, Ref) else set()))
+            else:
+                out.append(held | node)
+
+        walk(top.get("Pages"), {}, frozenset())
+        return out
+
+
+def _times(a: tuple, b: tuple) -> tuple:
+    return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
+
+
+def _at(m: tuple, x: float, y: float) -> tuple[float, float]:
+    return m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]
+
+
+class Font:
+    def __init__(self, doc: Document, d: dict):
+        self.wide = d.get("Subtype") == "Type0"
+        base = str(doc.get(d.get("BaseFont")) or "")
+        inner = doc.get((doc.get(d.get("DescendantFonts")) or [None])[0]) if self.wide else None
+        self.default = 600 if "Courier" in base else doc.get((inner or {}).get("DW")) or (1000 if self.wide else 500)
+        self.widths: dict[int, float] = {}
+        if inner:
+            row, at = doc.get(inner.get("W")) or [], 0
+            while at + 1 < len(row):
+                nxt = doc.get(row[at + 1])
+                if isinstance(nxt, list):
+                    self.widths |= {row[at] + k: w for k, w in enumerate(nxt)}
+                    at += 2
+                else:
+                    self.widths |= {c: row[at + 2] for c in range(row[at], nxt + 1)}
+                    at += 3
+        elif own := doc.get(d.get("Widths")):
+            self.widths = {(doc.get(d.get("FirstChar")) or 0) + k: doc.get(w) for k, w in enumerate(own)}
+        elif "Courier" not in base:
+            self.widths = dict(enumerate(HELVETICA, 32))
+        self.map = _to_unicode(doc.stream(d["ToUnicode"])) if "ToUnicode" in d else {}
+
+    def glyphs(self, s: bytes):
+        """(text, width in ems, is a single-byte blank) of each code."""
+        codes = [int.from_bytes(s[i : i + 2], "big") for i in range(0, len(s) - 1, 2)] if self.wide else s
+        for c in codes:
+            text = self.map.get(c) or ("�" if self.wide else bytes([c]).decode("cp1252", "replace"))
+            yield text, self.widths.get(c, self.default) / 1000, c == 32 and not self.wide
+
+
+def _to_unicode(cmap: bytes) -> dict[int, str]:
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    out: dict[int, str] = {}
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        out |= {int(a, 16): text(b) for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<((?:[0-9A-Fa-f]{2})+)>", block)}
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<((?:[0-9A-Fa-f]{2})+)>", block):
+            first = text(c)
+            out |= {int(a, 16) + k: first[:-1] + chr(ord(first[-1]) + k) for k in range(min(65536, int(b, 16) - int(a, 16) + 1))}
+    return out
+
+
+@dataclass
+class Page:
+    box: tuple[float, float, float, float]
+    chars: list[dict] = field(default_factory=list)
+    edges: list[tuple[float, float, float, float]] = field(default_factory=list)
+
+
+def read_page(doc: Document, attrs: dict) -> Page:
+    """A page's characters and rulings, y from the top."""
+    x0, y0, x1, y1 = (float(doc.get(v)) for v in doc.get(attrs.get("MediaBox")) or (0, 0, 612, 792))
+    page = Page((0.0, 0.0, x1 - x0, y1 - y0))
+    fonts = {k: Font(doc, doc.get(v)) for k, v in (doc.get((doc.get(attrs.get("Resources")) or {}).get("Font")) or {}).items()}
+    plain = Font(doc, {})
+    ctm, kept = (1.0, 0.0, 0.0, 1.0, -x0, -y0), []
+    path: list[tuple] = []
+    start = here = (0.0, 0.0)
+    t = {"font": plain, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0}
+    tm = line = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+    args: list = []
+
+    def show(s: bytes) -> None:
+        nonlocal tm
+        for text, width, blank in t["font"].glyphs(s):
+            m = _times(tm, ctm)
+            advance = width * t["size"] * t["Tz"]
+            corners = [_at(m, x, y) for x in (0, advance) for y in (DESCENT * t["size"] + t["Ts"], (DESCENT + 1) * t["size"] + t["Ts"])]
+            xs, ys = [c[0] for c in corners], [c[1] for c in corners]
+            upright = abs(m[1]) < 1e-6 and abs(m[2]) < 1e-6 and m[0] * m[3] > 0
+            box = (min(xs), page.box[3] - max(ys), max(xs), page.box[3] - min(ys))
+            page.chars.append({"text": text, "x0": box[0], "top": box[1], "x1": box[2], "bottom": box[3], "size": box[3] - box[1] if upright else box[2] - box[0], "upright": upright})
+            tm = _times((1, 0, 0, 1, advance + (t["Tc"] + (t["Tw"] if blank else 0)) * t["Tz"], 0), tm)
+
+    for v, _ in tokens(doc.stream(attrs.get("Contents"))):
+        if not isinstance(v, Op):
+            args.append(v)
+            continue
+        n = [a for a in args if isinstance(a, (int, float)) and not isinstance(a, bool)]
+        try:
+            if v == "q":
+                kept.append((ctm, dict(t)))
+            elif v == "Q" and kept:
+                ctm, t = kept.pop()
+            elif v == "cm":
+                ctm = _times(tuple(n[-6:]), ctm)
+            elif v == "BT":
+                tm = line = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+            elif v == "Tf":
+                t["font"], t["size"] = fonts.get(args[-2], plain), float(args[-1])
+            elif v in ("Tc", "Tw", "TL", "Ts"):
+                t[v] = float(n[-1])
+            elif v == "Tz":
+                t["Tz"] = n[-1] / 100
+            elif v in ("Td", "TD", "T*", "'", '"'):
+                if v == "TD":
+                    t["TL"] = -n[-1]
+                if v == '"':
+                    t["Tw"], t["Tc"] = float(n[0]), float(n[1])
+                tm = line = _times((1, 0, 0, 1, *(n[-2:] if v in ("Td", "TD") else (0, -t["TL"]))), line)
+                if v in ("'", '"'):
+                    show(args[-1])
+            elif v == "Tm":
+                tm = line = tuple(map(float, n[-6:]))
+            elif v == "Tj":
+                show(args[-1])
+            elif v == "TJ":
+                for x in args[-1]:
+                    if isinstance(x, bytes):
+                        show(x)
+                    else:
+                        tm = _times((1, 0, 0, 1, -x / 1000 * t["size"] * t["Tz"], 0), tm)
+            elif v == "m":
+                start = here = (n[-2], n[-1])
+            elif v == "l":
+                path.append((here, (n[-2], n[-1])))
+                here = (n[-2], n[-1])
+            elif v == "h":
+                path.append((here, start))
+                here = start
+            elif v in ("c", "v", "y"):
+                here = (n[-2], n[-1])
+            elif v == "re":
+                x, y, w, h = n[-4:]
+                c = ((x, y), (x + w, y), (x + w, y + h), (x, y + h))
+                path += list(zip(c, (*c[1:], c[0])))
+                start = here = c[0]
+            elif v in ("S", "s", "f", "F", "f*", "B", "B*", "b", "b*", "n"):
+                if v in ("s", "b", "b*"):
+                    path.append((here, start))
+                if v != "n":
+                    for a, b in path:
+                        (ax, ay), (bx, by) = _at(ctm, *a), _at(ctm, *b)
+                        if min(abs(ax - bx), abs(ay - by)) < 0.01 and (ax, ay) != (bx, by):
+                            page.edges.append((min(ax, bx), page.box[3] - max(ay, by), max(ax, bx), page.box[3] - min(ay, by)))
+                path = []
+        except (IndexError, ValueError, TypeError):
+            pass  # an operator with wrong operands has no effect
+        args = []
+    return page
+
+
+def _aligned(values: list[float]) -> dict[float, float]:
+    """Values nearer than ALIGN to the next one share their mean."""
+    out, run = {}, []
+    for v in [*sorted(set(values)), None]:
+        if run and (v is None or v > run[-1] + ALIGN):
+            out |= dict.fromkeys(run, sum(run) / len(run))
+            run = []
+        if v is not None:
+            run.append(v)
+    return out
+
+
+def _joined(edges: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
+    """(position, from, to) on one line, joined across gaps of up to ALIGN; short ones dropped."""
+    near = _aligned([p for p, _, _ in edges])
+    lines = defaultdict(list)
+    for p, a, b in edges:
+        lines[near[p]].append((a, b))
+    out = []
+    for p, spans in lines.items():
+        a, b = None, None
+        for s, e in sorted(spans):
+            if a is not None and s <= b + ALIGN:
+                b = max(b, e)
+                continue
+            if a is not None:
+                out.append((p, a, b))
+            a, b = s, e
+        out.append((p, a, b))
+    return [x for x in out if x[2] - x[1] >= ALIGN]
+
+
+def ruled_grids(edges: list[tuple[float, float, float, float]]) -> list[list[tuple[int, int, float, float, float, float]]]:
+    """Edges (x0, top, x1, bottom) -> grids in reading order, each a list of cells (row, col, x0, top, x1, bottom)."""
+    across = _joined([((t + b) / 2, x0, x1) for x0, t, x1, b in edges if b - t <= x1 - x0])
+    down = _joined([((x0 + x1) / 2, t, b) for x0, t, x1, b in edges if b - t > x1 - x0])
+    lines: dict[tuple[float, float], tuple[set, set]] = {}
+    for i, (x, a, b) in enumerate(down):
+        for j, (y, c, d) in enumerate(across):
+            if a - ALIGN <= y <= b + ALIGN and c - ALIGN <= x <= d + ALIGN:
+                v, h = lines.setdefault((x, y), (set(), set()))
+                v.add(i)
+                h.add(j)
+    rows, cols = defaultdict(list), defaultdict(list)
+    for x, y in sorted(lines):
+        rows[y].append(x)
+        cols[x].append(y)
+    cells = []
+    for x, y in sorted(lines, key=lambda p: (p[1], p[0])):
+        v, h = lines[x, y]
+        rights = [r for r in rows[y] if r > x and h & lines[r, y][1]]
+        found = None
+        for low in (b for b in cols[x] if b > y and v & lines[x, b][0]):
+            found = next(((x, y, r, low) for r in rights if (r, low) in lines and lines[r, low][1] & lines[x, low][1] and lines[r, low][0] & lines[r, y][0]), None)
+            if found:
+                cells.append(found)
+                break
+    group = list(range(len(cells)))
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    corner: dict[tuple[float, float], int] = {}
+    for i, (x0, t, x1, b) in enumerate(cells):
+        for c in ((x0, t), (x1, t), (x0, b), (x1, b)):
+            j = root(corner.setdefault(c, i))
+            group[max(root(i), j)] = min(root(i), j)
+    grids = defaultdict(list)
+    for i, c in enumerate(cells):
+        grids[root(i)].append(c)
+    out = []
+    for own in grids.values():
+        if len(own) > 1:  # a lone box is no grid
+            tops, lefts = sorted({c[1] for c in own}), sorted({c[0] for c in own})
+            out.append([(tops.index(c[1]), lefts.index(c[0]), *c) for c in own])
+    return sorted(out, key=lambda g: (min(c[3] for c in g), min(c[2] for c in g)))
+
+
+def page_words(chars: list[dict], gap: float = 3.0) -> list[tuple[float, float, float, float, str]]:
+    """Words for the column search, with the default gap in points: (x0, top, x1, bottom, text)."""
+    lines: list[list[dict]] = []
+    for c in sorted(chars, key=lambda c: (c["top"], c["x0"])):
+        if lines and c["top"] - lines[-1][-1]["top"] <= 3:
+            lines[-1].append(c)
+        else:
+            lines.append([c])
+    out = []
+    for line in lines:
+        run: list[dict] = []
+        for c in [*sorted(line, key=lambda c: c["x0"]), None]:
+            if run and (c is None or c["text"].isspace() or c["x0"] > run[-1]["x1"] + gap):
+                out.append((run[0]["x0"], min(r["top"] for r in run), run[-1]["x1"], max(r["bottom"] for r in run), "".join(r["text"] for r in run)))
+                run = []
+            if c is not None and not c["text"].isspace():
+                run.append(c)
+    return out
+
+
+def page_count(data: bytes) -> int:
+    """[SRC8]"""
+    return len(Document(data).pages())
+
+
+def _rows(doc_id: str, data: bytes):
+    blank = dict.fromkeys(("seq", "grid_id", "row", "col", "x0", "top", "x1", "bottom", "text", "size", "upright"))
+    try:
+        doc = Document(data)
+        pages = doc.pages()
+    except Exception as e:  # noqa: BLE001  an unreadable file is a row, not a failed task
+        yield blank | {"doc_id": doc_id, "kind": "error", "page_no": None, "text": str(e)[:500]}
+        return
+    for number, attrs in enumerate(pages, start=1):
+        base = blank | {"doc_id": doc_id, "page_no": number}
+        try:
+            page = read_page(doc, attrs)
+        except Exception as e:  # noqa: BLE001
+            yield base | {"kind": "error", "text": str(e)[:500]}
+            continue
+        box = dict(zip(("x0", "top", "x1", "bottom"), page.box))
+        yield base | box | {"kind": "page"}
+        for i, c in enumerate(page.chars):
+            yield base | c | {"kind": "char", "seq": i}
+        for i, (x0, t, x1, b, text) in enumerate(page_words(page.chars)):
+            yield base | {"kind": "word", "seq": i, "x0": x0, "top": t, "x1": x1, "bottom": b, "text": text}
+        for g, cells in enumerate(ruled_grids(page.edges)):
+            for r, c, x0, t, x1, b in cells:
+                yield base | {"kind": "cell", "grid_id": g, "row": r, "col": c, "x0": x0, "top": t, "x1": x1, "bottom": b}
+
+
+def decode(files: DataFrame, id_col: str = "path", content_col: str = "content") -> DataFrame:
+    """files (id, content) -> one relation of pages, characters, words, cells and errors (column kind). One pass in Arrow
+    batches of a few thousand rows, so a large file never stands in memory as rows."""
+    schema = pa.schema([("doc_id", pa.string()), ("kind", pa.string()), ("page_no", pa.int32()), ("seq", pa.int64()), ("grid_id", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("x0", pa.float64()), ("top", pa.float64()), ("x1", pa.float64()), ("bottom", pa.float64()), ("text", pa.string()), ("size", pa.float64()), ("upright", pa.bool_())])
+
+    def run(batches):
+        rows: list[dict] = []
+        for b in batches:
+            for doc_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for r in _rows(doc_id, data or b""):
+                    rows.append(r)
+                    if len(rows) >= 8192:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.select(F.col(id_col).cast("string").alias("doc_id"), F.col(content_col).alias("content")).mapInArrow(run, SCHEMA)
+
+
+def parts(decoded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(pages, chars, words, cells) of decoded files, as the geometry operators take them."""
+    box = ["doc_id", "page_no", "x0", "top", "x1", "bottom"]
+    of = lambda kind: decoded.where(F.col("kind") == kind)
+    return of("page").select(*box), of("char").select(*box, F.col("seq").alias("char_seq"), "text", "size", "upright"), of("word").select(*box, "text"), of("cell").select(*box, "grid_id", "row", "col")
