@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +15,12 @@ WS = r"[\x20\x09-\x0D]+"
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a local one only where the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="vellum-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+
+
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="vellum-")
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
