@@ -99,7 +99,8 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, views: int
     points = materialize(points, "texts")
     slabs = slabs_for(points.count(), radius)
     # one row of the table stands for each text
-    sketches = table.join(points.select("content", "doc_id"), ["content", "doc_id"]).select("content", "sketch").dropDuplicates(["content"])
+    standing = points.select(F.col("content").alias("c"), F.col("doc_id").alias("i"))
+    sketches = table.join(standing, (F.col("content") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("content", "sketch").dropDuplicates(["content"])
 
     viewed = lambda p: grid_cells(p.select("*", F.posexplode("fps").alias("view", "fp")).drop("fps"), radius, slabs)
     least = F.min(F.struct("content", "fp", "n")).over(Window.partitionBy("view", "grid", "cell"))
