@@ -37,7 +37,7 @@ def _letters() -> np.ndarray:
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams, counts) of a whole text: runs of letters, lower-cased, with a blank (0) at either end, 1 to LONGEST
+    """(n-grams, counts) of a whole text: runs of letters, lower-cased, with a blank at either end, 1 to LONGEST
     characters packed in one number. No n-gram is a lone blank or spans a blank. No letter: empty."""
     codes = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
     c = np.concatenate([[0], _letters()[codes], [0]])
@@ -45,9 +45,10 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if len(c) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams = [c[c != 0]]
-    packed = c
+    shown = np.where(c == 0, ord(" "), c)  # a blank of value 0 would be lost at the front of a packed n-gram
+    packed = shown
     for n in range(2, LONGEST + 1):
-        packed = (packed[:-1] << _BITS) | c[n - 1 :]
+        packed = (packed[:-1] << _BITS) | shown[n - 1 :]
         inner = np.ones(len(packed), bool)
         for k in range(1, n - 1):
             inner &= c[k : k + len(packed)] != 0
@@ -123,4 +124,4 @@ def op5_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     profiles = train(docs.where(crc_fold(F.col("doc_id")) != 1))
     out = with_language(docs.select("doc_id", "text"), profiles)
-    return out.select("doc_id", (crc_fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(crc_fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
