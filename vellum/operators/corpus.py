@@ -20,12 +20,11 @@ def scan(spark: SparkSession, roots: list[str], limit: int = DEFAULT_LIMIT, patt
 
 def without_duplicates(files: DataFrame, order: str = "path") -> DataFrame:
     """[SET2, JN12, WIN4, SC21] files (name, length, content, order) without those whose name, size and content agree with an
-    earlier one's. Contents are hashed only where name and size collide."""
-    same = Window.partitionBy("name", "length")
-    digest = F.when(F.count("*").over(same) > 1, F.sha2("content", 256)).otherwise(F.lit(""))
-    marked = files.withColumn("__digest", digest)
+    earlier one's; the columns but content. Contents are hashed where they are read and never shuffled: only the digest
+    travels, so the join that would keep unique sizes from being hashed is not worth its shuffle."""
+    narrow = files.withColumn("__digest", F.sha2("content", 256)).drop("content")
     first = F.row_number().over(Window.partitionBy("name", "length", "__digest").orderBy(order))
-    return marked.withColumn("__first", first).where("__first = 1").drop("__digest", "__first")
+    return narrow.withColumn("__first", first).where("__first = 1").drop("__digest", "__first")
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
