@@ -113,3 +113,31 @@ def report(rows: DataFrame, engines: tuple[str, str], stock: str) -> DataFrame:
     shared = [F.col(c) for c in ("n_docs", "n_broken", "bytes", "gridless", "notext")]
     each = [F.struct(F.lit(e).alias("engine"), *shared, *[F.col(f"{e}__{c}").alias(c) for c in per]) for e in engines]
     return wide.select(F.inline(F.array(*each)))
+
+
+LABEL_SCHEMA = "file_id string, bbox array<double>, nrows int, ncols int, cov double, ncells int, empty double, maxlen int, medlen int, p90len int, nmultiline int, nested_in int, page int, idx int, gid int, mlfrac double"
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """[SRC7] Labelled grids, one JSON record for each line that is not blank; the schema is fixed, never inferred."""
+    return spark.read.schema(LABEL_SCHEMA).json(path)
+
+
+def with_file_names(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """[JN10] Records with the file that their opaque file_id stands for; those without one are skipped."""
+    return labels.join(names.select("file_id", "filename"), "file_id")
+
+
+def write_details(rows: DataFrame, path: str) -> None:
+    """[SNK4] One JSON record for each document, failures included. It names documents, so it belongs outside of a repository."""
+    rows.write.mode("overwrite").json(path)
+
+
+def engine_diff(docs: DataFrame, left: str, right: str) -> DataFrame:
+    """[CMP11] Two texts of a document side by side: (columns, n_left, n_right, only_left, only_right), the lines that one has
+    and the other lacks. Within the row, without a join."""
+    a, b = T.split_lines(F.col(left)), T.split_lines(F.col(right))
+    return docs.select(
+        *[c for c in docs.columns if c not in (left, right)], F.size(a).alias("n_left"), F.size(b).alias("n_right"),
+        F.array_except(a, b).alias("only_left"), F.array_except(b, a).alias("only_right"),
+    )

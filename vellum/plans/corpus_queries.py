@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import archive, corpus
-from vellum.plans.text_queries import DISTURBED, PIPED, sql_strip, table
+from vellum.plans.text_queries import DISTURBED, PIPED, sql_lines, sql_strip, table
 
 
 def _files(spark, sf_dir):
@@ -91,6 +91,20 @@ def corpus_report(spark, sf_dir):
     return corpus.report(rows, ("stock", "own"), "stock")
 
 
+def engine_diff(spark, sf_dir):
+    """[CMP11]"""
+    d = _measured(spark, sf_dir).select("doc_id", "stock", "own")
+    out = corpus.engine_diff(d, "stock", "own")
+    return out.select("doc_id", "n_left", "n_right", F.size("only_left").alias("only_left"), F.size("only_right").alias("only_right"))
+
+
+def file_lookup(spark, sf_dir):
+    """[JN10, AGG10] Labels by an opaque id of their file; a third of the ids are unknown."""
+    ids = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("file_id"), F.concat("source", F.lit(".pdf")).alias("filename"))
+    labels = table(spark, sf_dir, "labels").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("file_id"), "quality")
+    return corpus.with_file_names(labels, ids).groupBy("filename").agg(F.count("*").alias("n"), F.sum("quality").alias("good"))
+
+
 def conversation_export(spark, sf_dir):
     """[AGG5, SRT1] Turns in order, one text for each conversation."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
@@ -147,6 +161,9 @@ select page_id, case when k = 1 then o.stem || '.md' else o.stem || ' (' || k ||
     "archive_search": "select 'Report_' || event_type || '_' || user_id || '.md' as filename, event_id as size, strftime(ts, '%Y-%m-%dT%H:%M:%S') as modified, printf('%.1f KB', floor(event_id / 1024 * 10 + 0.5) / 10) as label from events where contains(lower('Report_' || event_type || '_' || user_id || '.md'), 'port_purchase')",
     "corpus_report": f"""with {_engine("stock", 13)}, {_engine("own", 17)},
 m as (select d.doc_id, n_chars, stock.error is null and own.error is null as ok, stock.error is null and own.error is null and stock.glued <= 50 as well from documents d join stock using (doc_id) join own using (doc_id)) {_row("stock")} union all {_row("own")}""",
+    "engine_diff": f"""with s as (select doc_id, {DISTURBED} as a, {PIPED} as b from documents), l as (select doc_id, {sql_lines("a")} as a, {sql_lines("b")} as b from s)
+select doc_id, len(a)::int as n_left, len(b)::int as n_right, len(list_distinct(list_filter(a, lambda x: not list_contains(b, x))))::int as only_left, len(list_distinct(list_filter(b, lambda x: not list_contains(a, x))))::int as only_right from l""",
+    "file_lookup": "select source || '.pdf' as filename, count(*) as n, sum(quality)::bigint as good from labels join documents using (doc_id) where doc_id % 3 <> 0 group by 1",
     "conversation_export": "select conv_id, count(*)::int as n_turns, md5(string_agg(role || ': ' || text, E'\\n\\n' order by turn, role, text)) as digest from conversations group by conv_id",
 }
 QUERIES = {k: globals()[k] for k in ORACLE}
