@@ -34,6 +34,15 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return out
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table of this session's folder, those of results not yet read as well."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    top = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    fs = top.getFileSystem(conf)
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(top, "vellum-*")) or []:
+        fs.delete(found.getPath(), True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a scratch table that nothing reads any more."""
     path = getattr(df, "_scratch", None)

@@ -8,6 +8,7 @@ share of equal digits, less what chance gives, estimates the Jaccard likeness of
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,8 +127,9 @@ def in_descending_order(docs: DataFrame, tasks: int, id_col: str = "doc_id", tex
     cuts = sorted(set(cuts))
     # a binary search over the cuts: how many are below the id
     steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
-    array = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>")
-    below = F.aggregate(F.array(*map(F.lit, steps)) if steps else F.array().cast("array<int>"), F.lit(0), lambda lo, s: F.when(F.get(array, lo + s - 1) < F.col("doc_id"), lo + s).otherwise(lo))
+    constant = lambda xs, kind: F.from_json(F.lit(json.dumps(xs)), f"array<{kind}>")  # noqa: E731  folded to one literal
+    array = constant(cuts, "bigint")
+    below = F.aggregate(constant(steps, "int"), F.lit(0), lambda lo, s: F.when(F.get(array, lo + s - 1) < F.col("doc_id"), lo + s).otherwise(lo))
     part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - below).cast("int")
 
     first = ids.withColumn("part", part).groupBy("part").agg(F.max("doc_id").alias("doc_id")).orderBy("part").collect()
