@@ -71,6 +71,17 @@ def test_quality(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for i, r in got.items())
 
 
+def test_curve_of_separable_classes():
+    r = np.random.RandomState(0)
+    for n, gap in ((40, 1.0), (1500, 0.2), (1500, 0.0)):
+        d = np.concatenate([r.normal(gap, 0.05, n), r.normal(-gap, 0.05, n)])
+        x = np.array([quality_compression._terms((v, w)) for v, w in zip(d, r.choice([-0.7, -0.8, -4.2], 2 * n))])
+        y = np.repeat([1.0, 0.0], n)
+        w = quality_compression._fit(x, y)
+        p = 1 / (1 + np.exp(-x @ w))
+        assert np.abs(w).max() < 1000 and ((p >= 0.5) == y).mean() >= (0.99 if gap else 0.45)
+
+
 def test_quality_of_odd_documents(spark):
     docs = odd.frame(spark)
     assert quality_compression.train(docs, spark.createDataFrame([(3, 1)], "doc_id long, quality int")) is None
