@@ -27,6 +27,8 @@ from .components import connected_components
 SEGMENTS = 32
 _EVERY_OTHER = 0x5555555555555555
 _CHUNK = 1 << 15
+#: What it costs to shuffle and sort a point's row of a sub-grid, in comparisons of two points of a cell.
+_ROW = 50
 
 
 def _signed(x: int) -> int:
@@ -89,11 +91,14 @@ def _slab_masks(slabs: int) -> list[int]:
     return [sum(3 << 2 * s for s in range(a, b)) for a, b in zip(edges, edges[1:])]
 
 
+def grid_masks(radius: int, slabs: int) -> list[int]:
+    """For each sub-grid the bits of its slabs."""
+    return [_signed(sum(g)) for g in combinations(_slab_masks(slabs), slabs - radius)]
+
+
 def grid_cells(points: DataFrame, radius: int, slabs: int, fp: str = "fp") -> DataFrame:
     """points with (grid, cell): one row for each sub-grid of slabs - radius slabs."""
-    masks = _slab_masks(slabs)
-    grids = [_signed(sum(g)) for g in combinations(masks, slabs - radius)]
-    cells = F.posexplode(F.array(*[embedding(F.col(fp)).bitwiseAND(F.lit(m)) for m in grids]))
+    cells = F.posexplode(F.array(*[embedding(F.col(fp)).bitwiseAND(F.lit(m)) for m in grid_masks(radius, slabs)]))
     return points.select("*", cells.alias("grid", "cell"))
 
 
@@ -109,14 +114,15 @@ def hamming(a: Column, b: Column) -> Column:
 
 def slabs_for(points: int, radius: int) -> int:
     """The number of slabs that makes grid rows and expected pairs in cells together fewest. A two-bit segment's count of
-    two unrelated fingerprints agrees with probability 3/8. Any number gives the same links."""
+    two unrelated fingerprints agrees with probability 3/8. Any number gives the same links; the least possible one, with cells
+    of a single slab, is not considered."""
 
     def cost(s: int) -> float:
         from math import comb
 
-        return comb(s, radius) * (4 + points * 0.375 ** (SEGMENTS * (s - radius) / s))
+        return comb(s, radius) * (_ROW + points * 0.375 ** (SEGMENTS * (s - radius) / s))
 
-    return min(range(radius + 1, 17), key=cost)
+    return min(range(radius + 2, 17), key=cost)
 
 
 def fingerprint_components(fps: DataFrame, radius: int = 4, slabs: int | None = None) -> DataFrame:
