@@ -45,6 +45,16 @@ def test_urls(spark):
     assert urlsplit(urls[0]).hostname == got[0][0]
 
 
+def test_urls_against_sql(spark):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("pages", "labels"):
+        db.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = sorted(db.sql(url_reputation.ORACLE).fetchall(), key=repr)
+    assert sorted(map(tuple, url_reputation.op2_url_filters(spark, SF).collect()), key=repr) == want and len(want) == 250
+
+
 def test_reputation(spark):
     r = random.Random(1)
     outcomes = [("bad.example.com", 1)] * 60 + [("x.example.org", int(r.random() < 0.1)) for _ in range(200)] + [(f"h{i}.d{i % 5}.net", int(r.random() < 0.05 * (i % 5))) for i in range(40) for _ in range(9)] + [(None, 1), ("x.example.org", None)]
