@@ -4,6 +4,11 @@ Near copies are texts whose sets of five-word shingles are alike by at least 0.8
 shingles themselves is too coarse for that: two texts at 0.8 differ in some nine of its bits. Candidates therefore come from
 several fingerprints of the texts' word sets, which a few changed words move far less, each searched by the grid range-join
 of the SimHash operator at four bits; every candidate is then verified on its shingles.
+
+Each cell's texts are first verified against one of them, drawn by the cell's own order, which connects most of a group at a
+cost in proportion to its texts. Then all pairs of a cell are held against each other inside the join, which lets through only
+pairs that are not connected yet and whose 256 one-bit minhashes agree as near copies do; those are verified as well. No cell
+is cut short and no pair left out; a group of texts that are all just too different is compared, but not written out.
 """
 
 from __future__ import annotations
@@ -16,9 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import connected_components
-from .simhash import grid_cells, hamming, majority, manhattan, slabs_for
+from .oph import bins_of
+from .simhash import embedding, grid_cells, grid_masks, hamming, majority, manhattan, slabs_for
 
-VIEWS, RADIUS, SIMILARITY, SHINGLE = 4, 4, 0.8, 5
+VIEWS, RADIUS, SIMILARITY, SHINGLE = 3, 4, 0.8, 5
+#: One-bit minhashes of a text, and how far below the wanted likeness their estimate may lie (its standard error is 0.0375).
+BITS, SLACK = 256, 0.02
 #: Shingles that a sketch keeps: texts with no more distinct ones are compared exactly, others by an estimate with a standard
 #: error of 0.025 at the limit.
 SKETCH = 256
@@ -32,8 +40,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def profile(text: bytes | None, views: int = VIEWS, k: int = SHINGLE, size: int = SKETCH) -> tuple[list[int], int, bytes]:
-    """(fingerprints of the word set, number of distinct shingles, their smallest 32-bit hashes in order). Words are the runs
+def profile(text: bytes | None, views: int = VIEWS, k: int = SHINGLE, size: int = SKETCH) -> tuple[list[int], int, bytes, list[int]]:
+    """(fingerprints of the word set, number of distinct shingles, their smallest 32-bit hashes in order, BITS one-bit
+    minhashes of them as long numbers). Words are the runs
     without ASCII white space, A-Z lower-cased; fewer than k words make one shingle, none make no shingle."""
     words = (text or b"").lower().split()
     digest = xxhash.xxh3_64_intdigest
@@ -45,8 +54,12 @@ def profile(text: bytes | None, views: int = VIEWS, k: int = SHINGLE, size: int
         shingles = np.zeros(n, np.uint64)
         for j in range(min(k, len(h))):
             shingles = _mix(shingles + h[j : j + n] * _STEP + np.uint64(j + 1))
+        least = bins_of(shingles)
+        least = np.zeros(BITS, np.uint64) if least is None else least[:BITS]
+        ones = (_mix(least + np.arange(1, BITS + 1, dtype=np.uint64) * _STEP) & np.uint64(1)).astype(np.uint8)
+    bits = np.packbits(ones).view(np.int64).tolist()
     shingles = np.unique((shingles >> np.uint64(32)).astype(np.uint32))
-    return [f - (1 << 64) if f >= 1 << 63 else f for f in fps], len(shingles), shingles[:size].tobytes()
+    return [f - (1 << 64) if f >= 1 << 63 else f for f in fps], len(shingles), shingles[:size].tobytes(), bits
 
 
 def jaccard(a: bytes, b: bytes, size: int = SKETCH) -> float:
@@ -61,13 +74,17 @@ def jaccard(a: bytes, b: bytes, size: int = SKETCH) -> float:
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b, x, y) of contents whose texts are near copies."""
+    """The pairs (a, b, x, y) of contents whose texts are near copies. Sketches are shuffled once, to find those of texts in a
+    pair; only these meet the pairs."""
 
     def run(batches):
         for batch in batches:
             got = [jaccard(p, q) >= similarity for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(got, pa.bool_()))
 
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select(F.col("x").alias("content")).unionAll(pairs.select(F.col("y").alias("content"))).distinct()
+    sketches = materialize(sketches.join(wanted, "content", "left_semi"), "sketches")
     left, right = (sketches.select(F.col("content").alias(c), F.col("sketch").alias(f"s{c}")) for c in ("x", "y"))
     return pairs.join(left, "x").join(right, "y").select("a", "b", "sx", "sy").mapInArrow(run, "a long, b long")
 
@@ -81,47 +98,59 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, views: int
     """-> (content, doc_id, group, repeated): for every distinct text its hash, its least id, a number that near copies (and
     what they connect) share, and the most rows that one id has with this text.
 
-    Equal texts are one point from the start. As in the SimHash operator a cell's texts are first held against its least, and
-    the join proper emits only pairs of texts not yet connected, so that a large group costs links in proportion to its texts."""
+    Equal texts are one point from the start."""
     spark_text = F.coalesce(F.col(text_col), F.lit(""))
 
     def run(batches):
         for b in batches:
             got = [profile(t, views) for t in b.column(2).to_pylist()]
-            fps, n, sketch = zip(*got) if got else ((), (), ())
-            columns = [b.column(0), b.column(1), pa.array(fps, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "fps", "n", "sketch"])
+            fps, n, sketch, bits = zip(*got) if got else ((), (), (), ())
+            columns = [b.column(0), b.column(1), pa.array(fps, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "fps", "n", "sketch", "bits"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(spark_text).alias("content"), spark_text.cast("binary").alias("t"))
-    table = materialize(rows.mapInArrow(run, "doc_id long, content long, fps array<long>, n int, sketch binary"), "profiles")
-    each = table.groupBy("content", "doc_id").agg(F.count("*").alias("rows"), F.first("fps").alias("fps"), F.first("n").alias("n"))
-    points = each.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.max("rows").alias("repeated"), F.first("fps").alias("fps"), F.first("n").alias("n"))
+    table = materialize(rows.mapInArrow(run, "doc_id long, content long, fps array<long>, n int, sketch binary, bits array<long>"), "profiles")
+    points = table.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
     points = materialize(points, "texts")
     slabs = slabs_for(points.count(), radius)
-    # one row of the table stands for each text
-    standing = points.select(F.col("content").alias("c"), F.col("doc_id").alias("i"))
-    sketches = table.join(standing, (F.col("content") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("content", "sketch").dropDuplicates(["content"])
+    sketches = points.select("content", "sketch")
+    repeated = table.groupBy("content", "doc_id").agg(F.count("*").alias("rows")).groupBy("content").agg(F.max("rows").alias("repeated"))
+
+    grids = grid_masks(radius, slabs)
+
+    def viewed(p: DataFrame) -> DataFrame:
+        """One row for each view, sub-grid and text; place and cell say where."""
+        each = grid_cells(p.select("*", F.posexplode("fps").alias("view", "fp")).drop("fps"), radius, slabs)
+        return each.withColumn("place", F.col("view") * len(grids) + F.col("grid")).drop("view", "grid")
 
-    viewed = lambda p: grid_cells(p.select("*", F.posexplode("fps").alias("view", "fp")).drop("fps"), radius, slabs)
-    least = F.min(F.struct("content", "fp", "n")).over(Window.partitionBy("view", "grid", "cell"))
+    least = F.min(F.struct(F.xxhash64("content", "cell", "place").alias("o"), "content", "fp", "n")).over(Window.partitionBy("place", "cell"))
     stars = viewed(points.select("content", "n", "fps")).withColumn("o", least)
     stars = stars.where((F.col("content") != F.col("o.content")) & (hamming(F.col("fp"), F.col("o.fp")) <= radius) & _alike(F.col("n"), F.col("o.n"), similarity))
     stars = stars.select(F.col("content").alias("x"), F.col("o.content").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"), "x", "y")
     roots = materialize(connected_components(_verified(stars, sketches, similarity)), "stars")
 
-    rooted = points.join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "n", "fps", F.coalesce("component", "content").alias("root"))
+    words = [F.col("bits")[i].alias(f"b{i}") for i in range(BITS // 64)]
+    rooted = points.join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "n", "fps", *words, F.coalesce("component", "content").alias("root"))
     rooted = materialize(rooted, "rooted")
     both = viewed(rooted)
     x, y = both.alias("x"), both.alias("y")
+    apart = hamming(F.col("x.b0"), F.col("y.b0"))
+    for i in range(1, BITS // 64):
+        apart = apart + hamming(F.col(f"x.b{i}"), F.col(f"y.b{i}"))
+    changed = embedding(F.col("x.fp")).bitwiseXOR(embedding(F.col("y.fp")))
+    first = F.lit(None).cast("int")
+    for g, mask in reversed(list(enumerate(grids))):
+        first = F.when(changed.bitwiseAND(F.lit(mask)) == 0, F.lit(g)).otherwise(first)
     near = (
-        (F.col("x.view") == F.col("y.view")) & (F.col("x.grid") == F.col("y.grid")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.content") < F.col("y.content"))
-        & (F.col("x.root") != F.col("y.root")) & _alike(F.col("x.n"), F.col("y.n"), similarity)
-        & (manhattan(F.col("x.fp"), F.col("y.fp"), slabs) <= radius) & (hamming(F.col("x.fp"), F.col("y.fp")) <= radius)
+        (F.col("x.place") == F.col("y.place")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.content") < F.col("y.content"))
+        & (F.col("x.root") != F.col("y.root")) & (hamming(F.col("x.fp"), F.col("y.fp")) <= radius) & (apart <= int(BITS * (1 - similarity + SLACK) / 2))
+        & _alike(F.col("x.n"), F.col("y.n"), similarity) & (manhattan(F.col("x.fp"), F.col("y.fp"), slabs) <= radius)
+        & (first == F.col("x.place") % len(grids))  # of all cells of a view that two texts share, the first one speaks
     )
     pairs = x.join(y, near).select(F.col("x.root").alias("a"), F.col("y.root").alias("b"), F.col("x.content").alias("x"), F.col("y.content").alias("y")).distinct()
     across = connected_components(_verified(pairs, sketches, similarity))
     groups = rooted.select("content", "root").join(across.withColumnRenamed("node", "root"), "root", "left").select("content", F.coalesce("component", "root").alias("group"))
-    return points.select("content", "doc_id", "repeated").join(groups, "content")
+    return points.select("content", "doc_id").join(repeated, "content").join(groups, "content")
 
 
 def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
