@@ -18,16 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _INF = np.int64(1) << 40
-#: Characters of text that one step handles, and of distinct segments that one suffix array indexes.
-STEP_CHARS, INDEX_CHARS = 6_000_000, 1_000_000
+#: Bytes of text that one step handles, and characters of distinct segments that one suffix array indexes.
+STEP_CHARS, INDEX_CHARS = 3_000_000, 500_000
 #: Segments kept between steps, each of at most so many characters; longer segments are relaxed with a heap.
-KEPT_SEGMENTS, KEPT_CHARS, HEAP_CHARS = 300_000, 64, 2_000
+KEPT_SEGMENTS, KEPT_CHARS, HEAP_CHARS = 200_000, 64, 2_000
 
 
 @dataclass(frozen=True)
@@ -310,14 +311,15 @@ def _packed(rows: np.ndarray) -> np.ndarray:
     return (r[..., 0] << np.uint64(48)) | (r[..., 1] << np.uint64(32)) | (r[..., 2] << np.uint64(16)) | r[..., 3]
 
 
-def _steps(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _steps(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most STEP_CHARS together, or of one longer text."""
     a = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > STEP_CHARS:
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > STEP_CHARS:
             yield a, i
             a, size = i, 0
-        size += len(t)
-    yield a, len(texts)
+        size += n
+    yield a, len(sizes)
 
 
 def encode_documents(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,11 +331,12 @@ def encode_documents(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", te
     def run(batches):
         matcher = Matcher(pieces)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for x, y in _steps(texts):
-                offsets, ids = matcher.encode(texts[x:y])
-                every, at = ids.tolist(), offsets.tolist()
-                back = [matcher.decode(every[p:q]) == t for t, p, q in zip(texts[x:y], at, at[1:])]
+            column = b.column(1)
+            for x, y in _steps(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)):
+                texts = [t or "" for t in column.slice(x, y - x).to_pylist()]
+                offsets, ids = matcher.encode(texts)
+                at = offsets.tolist()
+                back = [matcher.decode(ids[p:q].tolist()) == t for t, p, q in zip(texts, at, at[1:])]
                 columns = [b.column(0).slice(x, y - x), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(offsets), pa.int64()), pa.array(back, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "round_trip"])
 
