@@ -145,3 +145,14 @@ def test_sketches():
     x, y = shingles(" ".join(long)), shingles(" ".join(other))
     assert abs(near_copies.jaccard(p, q) - len(x & y) / len(x | y)) < 0.1
     assert near_copies.jaccard(b"", b"") == 1.0
+
+
+def test_long_texts_are_verified_on_all_shingles():
+    r = random.Random(6)
+    for n in (300, 900, 3000):
+        w = odd.words(r, n).split()
+        for m in (0.86, 0.89, 0.92):
+            v = w[: int(n * m)] + odd.words(r, n - int(n * m)).split()
+            x, y = shingles(" ".join(w)), shingles(" ".join(v))
+            p, q = (near_copies.profile(" ".join(t).encode())[2] for t in (w, v))
+            assert near_copies.jaccard(p, q) == len(x & y) / len(x | y)

@@ -27,9 +27,8 @@ from .simhash import embedding, grid_cells, grid_masks, hamming, majority, manha
 VIEWS, RADIUS, SIMILARITY, SHINGLE = 3, 4, 0.8, 5
 #: One-bit minhashes of a text, and how far below the wanted likeness their estimate may lie (its standard error is 0.0375).
 BITS, SLACK = 256, 0.02
-#: Shingles that a sketch keeps: texts with no more distinct ones are compared exactly, others by an estimate with a standard
-#: error of 0.025 at the limit.
-SKETCH = 256
+#: Bytes kept of a shingle's hash. Pairs are verified on all shingles of both texts.
+WIDTH = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,8 +39,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def profile(text: bytes | None, views: int = VIEWS, k: int = SHINGLE, size: int = SKETCH) -> tuple[list[int], int, bytes, list[int]]:
-    """(fingerprints of the word set, number of distinct shingles, their smallest 32-bit hashes in order, BITS one-bit
+def _packed(shingles: np.ndarray) -> bytes:
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // WIDTH, 8), np.uint8)
+    wide[:, :WIDTH] = np.frombuffer(packed, np.uint8).reshape(-1, WIDTH)
+    return wide.view("<u8").ravel()
+
+
+def profile(text: bytes | None, views: int = VIEWS, k: int = SHINGLE) -> tuple[list[int], int, bytes, list[int]]:
+    """(fingerprints of the word set, number of distinct shingles, their hashes in order, WIDTH bytes each, BITS one-bit
     minhashes of them as long numbers). Words are the runs
     without ASCII white space, A-Z lower-cased; fewer than k words make one shingle, none make no shingle."""
     words = (text or b"").lower().split()
@@ -58,23 +67,22 @@ def profile(text: bytes | None, views: int = VIEWS, k: int = SHINGLE, size: int
         least = np.zeros(BITS, np.uint64) if least is None else least[:BITS]
         ones = (_mix(least + np.arange(1, BITS + 1, dtype=np.uint64) * _STEP) & np.uint64(1)).astype(np.uint8)
     bits = np.packbits(ones).view(np.int64).tolist()
-    shingles = np.unique((shingles >> np.uint64(32)).astype(np.uint32))
-    return [f - (1 << 64) if f >= 1 << 63 else f for f in fps], len(shingles), shingles[:size].tobytes(), bits
+    shingles = np.unique(shingles >> np.uint64(64 - 8 * WIDTH))
+    return [f - (1 << 64) if f >= 1 << 63 else f for f in fps], len(shingles), _packed(shingles), bits
 
 
-def jaccard(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """Likeness of two sketches: exact unless one of them is full. Two texts without words are alike."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+def jaccard(a: bytes, b: bytes) -> float:
+    """Likeness of two sets of shingles. Two texts without words are alike."""
+    x, y = unpacked(a), unpacked(b)
     if not len(x) and not len(y):
         return 1.0
-    both, count = np.unique(np.concatenate([x, y]), return_counts=True)
-    if size in (len(x), len(y)):
-        count = count[:size]
-    return float((count == 2).sum() / len(count))
+    every = np.sort(np.concatenate([x, y]), kind="stable")
+    both = int((every[1:] == every[:-1]).sum())
+    return both / (len(every) - both)
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b, x, y) of contents whose texts are near copies. Sketches are shuffled once, to find those of texts in a
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, x, y) of contents whose texts are near copies. Sets are shuffled once, to find those of texts in a
     pair; only these meet the pairs."""
 
     def run(batches):
@@ -84,8 +92,8 @@ def _verified(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataF
 
     pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.col("x").alias("content")).unionAll(pairs.select(F.col("y").alias("content"))).distinct()
-    sketches = materialize(sketches.join(wanted, "content", "left_semi"), "sketches")
-    left, right = (sketches.select(F.col("content").alias(c), F.col("sketch").alias(f"s{c}")) for c in ("x", "y"))
+    sets = materialize(sets.join(wanted, "content", "left_semi"), "sets")
+    left, right = (sets.select(F.col("content").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("x", "y"))
     return pairs.join(left, "x").join(right, "y").select("a", "b", "sx", "sy").mapInArrow(run, "a long, b long")
 
 
@@ -104,16 +112,16 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, views: int
     def run(batches):
         for b in batches:
             got = [profile(t, views) for t in b.column(2).to_pylist()]
-            fps, n, sketch, bits = zip(*got) if got else ((), (), (), ())
-            columns = [b.column(0), b.column(1), pa.array(fps, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "fps", "n", "sketch", "bits"])
+            fps, n, shingles, bits = zip(*got) if got else ((), (), (), ())
+            columns = [b.column(0), b.column(1), pa.array(fps, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(shingles, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "fps", "n", "shingles", "bits"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(spark_text).alias("content"), spark_text.cast("binary").alias("t"))
-    table = materialize(rows.mapInArrow(run, "doc_id long, content long, fps array<long>, n int, sketch binary, bits array<long>"), "profiles")
-    points = table.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
+    table = materialize(rows.mapInArrow(run, "doc_id long, content long, fps array<long>, n int, shingles binary, bits array<long>"), "profiles")
+    points = table.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
     points = materialize(points, "texts")
     slabs = slabs_for(points.count(), radius)
-    sketches = points.select("content", "sketch")
+    sets = points.select("content", "shingles")
     repeated = table.groupBy("content", "doc_id").agg(F.count("*").alias("rows")).groupBy("content").agg(F.max("rows").alias("repeated"))
 
     grids = grid_masks(radius, slabs)
@@ -127,7 +135,7 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, views: int
     stars = viewed(points.select("content", "n", "fps")).withColumn("o", least)
     stars = stars.where((F.col("content") != F.col("o.content")) & (hamming(F.col("fp"), F.col("o.fp")) <= radius) & _alike(F.col("n"), F.col("o.n"), similarity))
     stars = stars.select(F.col("content").alias("x"), F.col("o.content").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"), "x", "y")
-    roots = materialize(connected_components(_verified(stars, sketches, similarity)), "stars")
+    roots = materialize(connected_components(_verified(stars, sets, similarity)), "stars")
 
     words = [F.col("bits")[i].alias(f"b{i}") for i in range(BITS // 64)]
     rooted = points.join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "n", "fps", *words, F.coalesce("component", "content").alias("root"))
@@ -148,7 +156,7 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, views: int
         & (first == F.col("x.place") % len(grids))  # of all cells of a view that two texts share, the first one speaks
     )
     pairs = x.join(y, near).select(F.col("x.root").alias("a"), F.col("y.root").alias("b"), F.col("x.content").alias("x"), F.col("y.content").alias("y")).distinct()
-    across = connected_components(_verified(pairs, sketches, similarity))
+    across = connected_components(_verified(pairs, sets, similarity))
     groups = rooted.select("content", "root").join(across.withColumnRenamed("node", "root"), "root", "left").select("content", F.coalesce("component", "root").alias("group"))
     return points.select("content", "doc_id").join(repeated, "content").join(groups, "content")
 
