@@ -156,3 +156,16 @@ def test_long_texts_are_verified_on_all_shingles():
             x, y = shingles(" ".join(w)), shingles(" ".join(v))
             p, q = (near_copies.profile(" ".join(t).encode())[2] for t in (w, v))
             assert near_copies.jaccard(p, q) == len(x & y) / len(x | y)
+
+
+def test_parity_bits_refuse_no_near_copy():
+    r = random.Random(8)
+    for n in (12, 60, 300, 900):
+        for _ in range(60):
+            w = odd.words(r, n).split()
+            v = list(w)
+            for _ in range(r.randint(0, max(1, n // 40))):
+                v[r.randrange(n)] = odd.words(r, 1)
+            (_, a, p, x), (_, b, q, y) = (near_copies.profile(" ".join(t).encode()) for t in (w, v))
+            both = len(set(near_copies.unpacked(p).tolist()) & set(near_copies.unpacked(q).tolist()))
+            assert sum(((i ^ j) % (1 << 64)).bit_count() for i, j in zip(x, y)) <= a + b - 2 * both

@@ -7,8 +7,8 @@ of the SimHash operator at four bits; every candidate is then verified on its sh
 
 Each cell's texts are first verified against one of them, drawn by the cell's own order, which connects most of a group at a
 cost in proportion to its texts. Then all pairs of a cell are held against each other inside the join, which lets through only
-pairs that are not connected yet and whose 256 one-bit minhashes agree as near copies do; those are verified as well. No cell
-is cut short and no pair left out; a group of texts that are all just too different is compared, but not written out.
+pairs that are not connected yet and whose parity bits do not rule a near copy out; those are verified as well. No pair of a
+cell is left out; of a group of texts that are all just too different, those that the parity bits refuse are not written out.
 """
 
 from __future__ import annotations
@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import connected_components
-from .oph import bins_of
 from .simhash import embedding, grid_cells, grid_masks, hamming, majority, manhattan, slabs_for
 
 VIEWS, RADIUS, SIMILARITY, SHINGLE = 3, 4, 0.8, 5
-#: One-bit minhashes of a text, and how far below the wanted likeness their estimate may lie (its standard error is 0.0375).
-BITS, SLACK = 256, 0.02
+#: Parity bits of a text's shingles: two texts have at least as many shingles not in common as they have bits that differ.
+BITS = 512
 #: Bytes kept of a shingle's hash. Pairs are verified on all shingles of both texts.
 WIDTH = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -50,9 +49,9 @@ def unpacked(packed: bytes) -> np.ndarray:
 
 
 def profile(text: bytes | None, views: int = VIEWS, k: int = SHINGLE) -> tuple[list[int], int, bytes, list[int]]:
-    """(fingerprints of the word set, number of distinct shingles, their hashes in order, WIDTH bytes each, BITS one-bit
-    minhashes of them as long numbers). Words are the runs
-    without ASCII white space, A-Z lower-cased; fewer than k words make one shingle, none make no shingle."""
+    """(fingerprints of the word set, number of distinct shingles, their hashes in order, WIDTH bytes each, BITS parity
+    bits as long numbers). Words are the runs without ASCII white space, A-Z lower-cased; fewer than k words make one shingle,
+    none make no shingle."""
     words = (text or b"").lower().split()
     digest = xxhash.xxh3_64_intdigest
     h = np.fromiter((digest(w) for w in words), np.uint64, len(words))
@@ -63,11 +62,9 @@ def profile(text: bytes | None, views: int = VIEWS, k: int = SHINGLE) -> tuple[l
         shingles = np.zeros(n, np.uint64)
         for j in range(min(k, len(h))):
             shingles = _mix(shingles + h[j : j + n] * _STEP + np.uint64(j + 1))
-        least = bins_of(shingles)
-        least = np.zeros(BITS, np.uint64) if least is None else least[:BITS]
-        ones = (_mix(least + np.arange(1, BITS + 1, dtype=np.uint64) * _STEP) & np.uint64(1)).astype(np.uint8)
-    bits = np.packbits(ones).view(np.int64).tolist()
     shingles = np.unique(shingles >> np.uint64(64 - 8 * WIDTH))
+    odd = np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1
+    bits = np.packbits(odd).view(np.int64).tolist()
     return [f - (1 << 64) if f >= 1 << 63 else f for f in fps], len(shingles), _packed(shingles), bits
 
 
@@ -99,7 +96,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def _alike(n: Column, m: Column, similarity: float) -> Column:
     """Two sets can only be so alike if their sizes are."""
-    return F.least(n, m) >= similarity * F.greatest(n, m)
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+
+def _shared(n: Column, m: Column, similarity: float) -> Column:
+    """How many shingles texts with n and m have in common at least if they are near copies."""
+    return F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
 
 
 def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, views: int = VIEWS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +153,7 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, views: int
         first = F.when(changed.bitwiseAND(F.lit(mask)) == 0, F.lit(g)).otherwise(first)
     near = (
         (F.col("x.place") == F.col("y.place")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.content") < F.col("y.content"))
-        & (F.col("x.root") != F.col("y.root")) & (hamming(F.col("x.fp"), F.col("y.fp")) <= radius) & (apart <= int(BITS * (1 - similarity + SLACK) / 2))
+        & (F.col("x.root") != F.col("y.root")) & (hamming(F.col("x.fp"), F.col("y.fp")) <= radius) & (apart <= F.col("x.n") + F.col("y.n") - 2 * _shared(F.col("x.n"), F.col("y.n"), similarity))
         & _alike(F.col("x.n"), F.col("y.n"), similarity) & (manhattan(F.col("x.fp"), F.col("y.fp"), slabs) <= radius)
         & (first == F.col("x.place") % len(grids))  # of all cells of a view that two texts share, the first one speaks
     )
