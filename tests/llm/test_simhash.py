@@ -169,3 +169,18 @@ def test_parity_bits_refuse_no_near_copy():
             (_, a, p, x), (_, b, q, y) = (near_copies.profile(" ".join(t).encode()) for t in (w, v))
             both = len(set(near_copies.unpacked(p).tolist()) & set(near_copies.unpacked(q).tolist()))
             assert sum(((i ^ j) % (1 << 64)).bit_count() for i, j in zip(x, y)) <= a + b - 2 * both
+
+
+def test_copies_with_blocks_added_cut_and_replaced_go(spark):
+    r = random.Random(12)
+    data, like = [], lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    for g in range(120):
+        n = r.choice([60, 300, 900])
+        w, k = odd.words(r, n).split(), int(n * r.uniform(0.04, 0.19))
+        at = r.randrange(n - k)
+        v = [w + odd.words(r, k).split(), w[: n - k], w[:at] + odd.words(r, k // 2).split() + w[at + k // 2 :]][g % 3]
+        data += [(2 * g, " ".join(w), "en", "src0", 1), (2 * g + 1, " ".join(v), "en", "src0", 1)]
+    far = [data[i][0] for i in range(1, len(data), 2) if like(data[i - 1][1], data[i][1]) < 0.8]
+    assert len(far) < 60
+    kept = near_copies.without_near_copies(odd.frame(spark, data))
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted([*range(0, len(data), 2), *far])

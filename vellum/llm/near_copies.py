@@ -1,14 +1,16 @@
 """Near-dedup of a corpus with SimHash (1): one document of each group of near copies stays.
 
 Near copies are texts whose sets of five-word shingles are alike by at least 0.8 (Jaccard). A 64-bit fingerprint of the
-shingles themselves is too coarse for that: two texts at 0.8 differ in some nine of its bits. Candidates therefore come from
-several fingerprints of the texts' word sets, which a few changed words move far less, each searched by the grid range-join
-of the SimHash operator at four bits; every candidate is then verified on its shingles.
-
-Each cell's texts are first verified against one of them, drawn by the cell's own order, which connects most of a group at a
-cost in proportion to its texts. Then all pairs of a cell are held against each other inside the join, which lets through only
-pairs that are not connected yet and whose parity bits do not rule a near copy out; those are verified as well. No pair of a
-cell is left out; of a group of texts that are all just too different, those that the parity bits refuse are not written out.
+shingles themselves is too coarse for that: two texts at 0.8 differ in some nine of its bits. Fingerprints of the texts' word
+sets move far less by a few changed words. Several of them are searched by the grid of the SimHash operator at four bits: each
+cell's texts are verified against one of them, drawn by the cell's own order, which connects most of a group at a cost in
+proportion to its texts.
+
+Fingerprints miss copies with a block added, cut off or replaced. So what the first step leaves unconnected is searched exactly,
+by prefixes: with the shingles of every text in one common order, rare ones first, two near copies share one among the first
+fifth of the larger text and the first ninth of the smaller. Pairs that share such a shingle are refused inside the join only
+by bounds that no near copy exceeds (sizes, places of the shared shingle, parity bits); all others are verified on all
+shingles. No pair of near copies is left out.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import connected_components
-from .simhash import embedding, grid_cells, grid_masks, hamming, majority, manhattan, slabs_for
+from .simhash import grid_cells, grid_masks, hamming, majority, slabs_for
 
 VIEWS, RADIUS, SIMILARITY, SHINGLE = 3, 4, 0.8, 5
 #: Parity bits of a text's shingles: two texts have at least as many shingles not in common as they have bits that differ.
 BITS = 512
 #: Bytes kept of a shingle's hash. Pairs are verified on all shingles of both texts.
 WIDTH = 5
+#: Texts drawn to learn which shingles are common, and how many of those are known. They order the shingles; any order is exact.
+SAMPLE, COMMON = 20_000, 50_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,6 +108,62 @@ def _shared(n: Column, m: Column, similarity: float) -> Column:
     return F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
 
 
+def _common(sets: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, ascending, in how many texts each was seen) of those that a bounded draw of texts has most often."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(unpacked(b"".join(b.column(0).to_pylist())).astype(np.int64))], ["key"])
+
+    drawn = sets.where(F.pmod(F.xxhash64("content"), F.lit(max(1, count // SAMPLE))) == 0).select("shingles")
+    seen = drawn.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    rows = sorted(seen.orderBy(F.desc("n"), "key").limit(COMMON).collect())
+    return np.array([r["key"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
+
+
+def _prefix_pairs(sets: DataFrame, rooted: DataFrame, count: int, similarity: float) -> DataFrame:
+    """(a, b, x, y): roots and contents of all pairs not connected yet that may be near copies."""
+    common = sets.sparkSession.sparkContext.broadcast(_common(sets, count))
+
+    def run(batches):
+        known, often = common.value
+        for b in batches:
+            out = []
+            for content, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = unpacked(p).astype(np.int64)
+                n = len(own)
+                if not n:
+                    continue
+                seen = np.zeros(n, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    seen = np.where(known[at] == own, often[at], 0)
+                least = int(np.ceil(n * similarity - 1e-9))
+                own = own[np.lexsort((own, seen))][: n - least + 1]
+                out.append((own, np.full(len(own), content, np.int64), np.arange(len(own), dtype=np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "content", "pos"])
+
+    rows = sets.mapInArrow(run, "key long, content long, pos int")
+    rows = rows.withColumn("texts", F.count("*").over(Window.partitionBy("key"))).where("texts > 1").drop("texts")
+    words = [F.col("bits")[i].alias(f"b{i}") for i in range(BITS // 64)]
+    rows = materialize(rows.join(rooted.select("content", "n", "root", *words), "content"), "prefixes")
+    x, y = rows.alias("x"), rows.alias("y")
+    n, m, i, j = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
+    shared = _shared(n, m, similarity)
+    apart = hamming(F.col("x.b0"), F.col("y.b0"))
+    for k in range(1, BITS // 64):
+        apart = apart + hamming(F.col(f"x.b{k}"), F.col(f"y.b{k}"))
+    near = (
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+        & ((n < m) | ((n == m) & (F.col("x.content") < F.col("y.content")))) & _alike(n, m, similarity)
+        & (i <= n - _shared(n, n, similarity))  # the smaller text's prefix is the shorter one
+        & (F.least(i, j) + F.least(n - i, m - j) >= shared)  # what lies before the shared shingle in both, it, and what follows
+        & (apart <= n + m - 2 * shared)
+    )
+    return x.join(y, near).select(F.col("x.root").alias("a"), F.col("y.root").alias("b"), F.col("x.content").alias("x"), F.col("y.content").alias("y")).distinct()
+
+
 def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, views: int = VIEWS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> (content, doc_id, group, repeated): for every distinct text its hash, its least id, a number that near copies (and
     what they connect) share, and the most rows that one id has with this text.
@@ -122,7 +182,8 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, views: int
     table = materialize(rows.mapInArrow(run, "doc_id long, content long, fps array<long>, n int, shingles binary, bits array<long>"), "profiles")
     points = table.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
     points = materialize(points, "texts")
-    slabs = slabs_for(points.count(), radius)
+    count = points.count()
+    slabs = slabs_for(count, radius)
     sets = points.select("content", "shingles")
     repeated = table.groupBy("content", "doc_id").agg(F.count("*").alias("rows")).groupBy("content").agg(F.max("rows").alias("repeated"))
 
@@ -137,27 +198,13 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, views: int
     stars = viewed(points.select("content", "n", "fps")).withColumn("o", least)
     stars = stars.where((F.col("content") != F.col("o.content")) & (hamming(F.col("fp"), F.col("o.fp")) <= radius) & _alike(F.col("n"), F.col("o.n"), similarity))
     stars = stars.select(F.col("content").alias("x"), F.col("o.content").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"), "x", "y")
-    roots = materialize(connected_components(_verified(stars, sets, similarity)), "stars")
+    blank = points.where("n = 0")
+    blanks = blank.select(F.col("content").alias("a"), F.lit(blank.agg(F.min("content")).first()[0]).cast("long").alias("b"))
+    roots = materialize(connected_components(_verified(stars, sets, similarity).unionAll(blanks)), "stars")
 
-    words = [F.col("bits")[i].alias(f"b{i}") for i in range(BITS // 64)]
-    rooted = points.join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "n", "fps", *words, F.coalesce("component", "content").alias("root"))
+    rooted = points.join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "n", "bits", F.coalesce("component", "content").alias("root"))
     rooted = materialize(rooted, "rooted")
-    both = viewed(rooted)
-    x, y = both.alias("x"), both.alias("y")
-    apart = hamming(F.col("x.b0"), F.col("y.b0"))
-    for i in range(1, BITS // 64):
-        apart = apart + hamming(F.col(f"x.b{i}"), F.col(f"y.b{i}"))
-    changed = embedding(F.col("x.fp")).bitwiseXOR(embedding(F.col("y.fp")))
-    first = F.lit(None).cast("int")
-    for g, mask in reversed(list(enumerate(grids))):
-        first = F.when(changed.bitwiseAND(F.lit(mask)) == 0, F.lit(g)).otherwise(first)
-    near = (
-        (F.col("x.place") == F.col("y.place")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.content") < F.col("y.content"))
-        & (F.col("x.root") != F.col("y.root")) & (hamming(F.col("x.fp"), F.col("y.fp")) <= radius) & (apart <= F.col("x.n") + F.col("y.n") - 2 * _shared(F.col("x.n"), F.col("y.n"), similarity))
-        & _alike(F.col("x.n"), F.col("y.n"), similarity) & (manhattan(F.col("x.fp"), F.col("y.fp"), slabs) <= radius)
-        & (first == F.col("x.place") % len(grids))  # of all cells of a view that two texts share, the first one speaks
-    )
-    pairs = x.join(y, near).select(F.col("x.root").alias("a"), F.col("y.root").alias("b"), F.col("x.content").alias("x"), F.col("y.content").alias("y")).distinct()
+    pairs = _prefix_pairs(sets, rooted, count, similarity)
     across = connected_components(_verified(pairs, sets, similarity))
     groups = rooted.select("content", "root").join(across.withColumnRenamed("node", "root"), "root", "left").select("content", F.coalesce("component", "root").alias("group"))
     return points.select("content", "doc_id").join(repeated, "content").join(groups, "content")
