@@ -22,10 +22,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID (5): documents without a letter, in which no language can be found, go."""
-    profiles = language_profiles.train(docs.where(crc_fold(F.col("doc_id")) != 1))
+    """Language ID (5): documents without a letter go, and those whose score lies below the floor of the labelled texts, which
+    are in no language that has a profile."""
+    profiles, least = language_profiles.train_with_floor(docs.where(crc_fold(F.col("doc_id")) != 1))
     found = language_profiles.with_language(docs, profiles, "__vellum_lang", "__vellum_score")
-    return found.where(F.col("__vellum_lang") != language_profiles.UNKNOWN).drop("__vellum_lang", "__vellum_score")
+    known = (F.col("__vellum_lang") != language_profiles.UNKNOWN) & (F.col("__vellum_score") >= least)
+    return found.where(known).drop("__vellum_lang", "__vellum_score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

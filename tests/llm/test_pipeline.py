@@ -51,6 +51,13 @@ def test_stages_with_odd_documents(spark):
                 out.collect()
 
 
+def test_language_stage_rejects_scripts_without_a_profile(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd_ones = docs.limit(3).withColumns({"doc_id": F.col("doc_id") + 10**9, "lang": F.lit(None).cast("string"), "text": F.lit("σύντομο κείμενο σε άλλη γραφή")})
+    kept = {r["doc_id"] for r in dict(P.STAGES)["language"](spark, docs.unionByName(odd_ones), SF).collect()}
+    assert kept == {d["doc_id"] for d in docs.collect() if any(c.isalpha() for c in d["text"])}
+
+
 def test_entry():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))

@@ -94,9 +94,8 @@ def build(texts_by_language: dict[str, list[str]]) -> Profiles:
     return Profiles(tuple(lists), every, ranks)
 
 
-def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Profiles from a bounded sample: per_language texts of each language, chosen by the hash of their id, first by ids
-    alone. Null texts and null languages teach nothing; no rows: no languages."""
+def _sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
+    """per_language texts of each language, chosen by the hash of their id, first by ids alone."""
     ids = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     chosen = drawn(ids, ["lang"], "id", per_language)  # per_language ids of each language
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
@@ -104,7 +103,26 @@ def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, id_col: str = "d
     by: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["id"] is None, r["id"], r["t"])):
         by.setdefault(r["lang"], []).append(r["t"])
-    return build(by)
+    return by
+
+
+def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
+    """Profiles from a bounded sample of labelled texts. Null texts and null languages teach nothing; no rows: no languages."""
+    return build(_sample(docs, per_language, id_col, text_col, lang_col))
+
+
+def floor(profiles: Profiles, texts: list[str]) -> float:
+    """The score below which a text is in none of the languages: half of what all but one in a hundred of the labelled texts
+    with a letter reach. Without such texts 0."""
+    scores = sorted(score for lang, score in map(profiles.identify, texts) if lang != UNKNOWN)
+    return scores[len(scores) // 100] / 2 if scores else 0.0
+
+
+def train_with_floor(docs: DataFrame, *, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[Profiles, float]:
+    """The profiles and the floor, both from the same sample."""
+    by = _sample(docs, per_language, id_col, text_col, lang_col)
+    profiles = build(by)
+    return profiles, floor(profiles, [t for texts in by.values() for t in texts])
 
 
 def with_language(docs: DataFrame, profiles: Profiles, lang: str = "lang_pred", score: str = "score", text_col: str = "text") -> DataFrame:
