@@ -49,3 +49,8 @@ def test_every_oracle_has_its_query():
 def test_report_names_no_document(spark):
     frame = registry.queries()["corpus_report"](spark, SF)
     assert [c for c, t in frame.dtypes if t == "string"] == ["engine"]
+
+
+def test_variant_sweep_renders_every_order(spark):
+    n = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert {r["mode"]: r["n_docs"] for r in registry.queries()["variant_sweep"](spark, SF).collect()} == dict.fromkeys(("legacy", "ct120", "rowfill"), n)
