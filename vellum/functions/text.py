@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: White space as str.strip and \s have it, line ends as str.splitlines has them, word characters as \w (fixed classes).
 WS = r"[\p{Z}\x09-\x0D\x1C-\x1F\x85]"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
+#: The same, as a class of characters; a line end before which no line stands belongs to a table line if a pipe follows.
+ENDS = r"\n\r\x0B\x0C\x1C-\x1E\x85  "
+_TABLE_LINE = rf"(?:\A|\r\n|[{ENDS}])\|"
 NOT_NAME = r"[^\p{L}\p{N}_\-. ]"
 #: Metrics (fixed patterns and limits).
 GLUED = "[A-Za-zА-Яа-яЁё]{26,}"
@@ -20,6 +23,11 @@ TOKENS_PER_UNIT = 2250
 MAX_UPLOAD_BYTES = 200 * 1024 * 1024
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip(text: Column) -> Column:
     """Unicode white space off both ends."""
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
@@ -27,8 +35,13 @@ def strip(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """[SC16] Lines at every Unicode line end; a final line end opens no further line; empty text has none."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return _once(F.split(text, LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
+
+
+def line_count(text: Column) -> Column:
+    """[SC16] How many lines split_lines() gives, without making them."""
+    ends = F.regexp_count(text, F.lit(LINE_END))
+    return ends + F.when((text == "") | text.rlike(rf"[{ENDS}]\z"), 0).otherwise(1)
 
 
 def cell_text(cell: Column) -> Column:
@@ -66,25 +79,39 @@ def numeric_tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(f"({NUMBER})")), lambda x: F.length(x) >= 2)
 
 
-def _more(a: Column, b: Column) -> Column:
-    """How many members multiset a has beyond b."""
-    count = lambda xs, d: F.size(F.filter(xs, lambda x: x == d))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, d: n + F.greatest(count(a, d) - count(b, d), F.lit(0)))
+def digit_text(text: Column) -> Column:
+    """The decimal digits of a text alone."""
+    return F.regexp_replace(text, r"\P{Nd}+", "")
+
+
+def digits_beyond(a: Column, b: Column) -> Column:
+    """[JN8, SET3] How many digits the digit text a has beyond b, as multisets. Plain digits are counted by ten replacements;
+    only texts with others are taken apart."""
+    count = lambda x, k: F.length(x) - F.length(F.replace(x, F.lit(str(k)), F.lit("")))
+
+    def plain(s: Column) -> Column:
+        return sum((F.greatest(count(s[0], k) - count(s[1], k), F.lit(0)) for k in range(1, 10)), F.greatest(count(s[0], 0) - count(s[1], 0), F.lit(0)))
+
+    def any_digit(s: Column) -> Column:
+        times = lambda x, d: F.length(x) - F.length(F.replace(x, d, F.lit("")))
+        return F.aggregate(F.array_distinct(F.regexp_extract_all(s[0], F.lit(r"(\p{Nd})"))), F.lit(0), lambda n, d: n + F.greatest(times(s[0], d) - times(s[1], d), F.lit(0)))
+
+    return _once(F.array(a, b), lambda s: F.when(F.concat(s[0], s[1]).rlike("[^0-9]"), any_digit(s)).otherwise(plain(s)))
 
 
 def digit_excess(out: Column, base: Column) -> Column:
     """[JN8, SET3] Digits that out has beyond base. Within the row: multisets of one document need no join."""
-    return _more(digits(out), digits(base))
+    return digits_beyond(digit_text(out), digit_text(base))
 
 
 def digit_deficit(out: Column, base: Column) -> Column:
     """[JN8, SET3] Digits of base that out lacks."""
-    return _more(digits(base), digits(out))
+    return digits_beyond(digit_text(base), digit_text(out))
 
 
 def pipe_rows(text: Column) -> Column:
     """[SC14] Lines that start with a pipe."""
-    return F.size(F.filter(split_lines(text), lambda x: F.startswith(x, F.lit("|"))))
+    return F.regexp_count(text, F.lit(_TABLE_LINE))
 
 
 def phantom_rows(text: Column, grids: Column) -> Column:
@@ -111,13 +138,13 @@ def reflow(text: Column) -> Column:
 
 def blob_lines(text: Column) -> Column:
     """[AGG12] Lines of more than 300 characters."""
-    return F.size(F.filter(split_lines(text), lambda x: F.length(x) > 300))
+    return F.regexp_count(text, F.lit(f"[^{ENDS}]{{301,}}"))
 
 
 def paragraph_cells(text: Column) -> Column:
     """[AGG12] Cells of table lines with more than 300 characters."""
-    rows = F.filter(split_lines(text), lambda x: F.startswith(x, F.lit("|")))
-    return F.size(F.filter(F.flatten(F.transform(rows, lambda x: F.split(x, r"\|"))), lambda c: F.length(c) > 300))
+    rows = F.regexp_extract_all(text, F.lit(f"{_TABLE_LINE}([^{ENDS}]*)"))
+    return F.regexp_count(F.array_join(rows, "|"), F.lit("[^|]{301,}"))
 
 
 def safe_stem(name: Column) -> Column:
