@@ -1,4 +1,8 @@
-"""Command line.  [SRC3, SNK1]   python -m vellum.cli convert FILE|- [--type .pdf] [-o OUT]"""
+"""Command line.  [SRC3, SNK1, CMP8]
+
+python -m vellum.cli convert FILE|- [--type .pdf] [-o OUT]
+python -m vellum.cli measure FOLDER... [--limit BYTES] [--sample N --seed K] [--tokens TABLE] [--details OUT]
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,15 @@ from pathlib import Path
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="vellum")
-    c = p.add_subparsers(dest="command", required=True).add_parser("convert", help="a document to Markdown")
+    commands = p.add_subparsers(dest="command", required=True)
+    m = commands.add_parser("measure", help="how well the PDFs under some folders convert")
+    m.add_argument("folder", nargs="+")
+    m.add_argument("--limit", type=int, default=10 << 20, help="files of so many bytes or more are left out; 0: none")
+    m.add_argument("--sample", type=int, help="so many files, drawn by chance")
+    m.add_argument("--seed", type=int, default=0)
+    m.add_argument("--tokens", help="a byte-pair table; without one tokens are not counted")
+    m.add_argument("--details", help="a folder for a record of each file, names included")
+    c = commands.add_parser("convert", help="a document to Markdown")
     c.add_argument("input", help="a file, or - for standard input")
     c.add_argument("-o", "--output", help="write here instead of standard output")
     c.add_argument("--type", help="the kind of standard input, such as .pdf")
@@ -19,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     """0: done; 1: no such file, or it cannot be converted; 2: standard input without --type."""
     args = parser().parse_args(argv)
+    if args.command == "measure":
+        return _measure(args)
     if args.input == "-":
         if not args.type:
             print("--type is needed with standard input", file=sys.stderr)
@@ -45,5 +59,22 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
+def _measure(args: argparse.Namespace) -> int:
+    """A JSON line for each selection; 1: a folder that is none."""
+    for folder in args.folder:
+        if not Path(folder).is_dir():
+            print(f"No such folder: {folder}", file=sys.stderr)
+            return 1
+    from vellum.operators import corpus, measure
+    from vellum.session import local
+
+    rows = measure.measure(local(), args.folder, ranks=args.tokens, limit=args.limit, sample=args.sample, seed=args.seed).persist()
+    for line in measure.report(rows).toJSON().collect():  # a row for each selection
+        print(line)
+    if args.details:
+        corpus.write_details(rows, args.details)
+    return 0
+
+
 if __name__ == "__main__":
     sys.exit(main())

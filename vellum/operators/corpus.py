@@ -28,13 +28,13 @@ def without_duplicates(files: DataFrame, order: str = "path") -> DataFrame:
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
-    """A number that depends on key and seed alone; the same in any engine."""
-    return (key * F.lit(2654435761) + F.lit(seed)) % F.lit(4294967296)
+    """A text that depends on key, of any type, and seed alone, and orders rows by chance; the same in any engine."""
+    return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")).cast("binary"))
 
 
 def seeded_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """[LIM1, SRT3] n rows without replacement, in the order of their key; all rows if there are no more. The n least hashes
-    are kept in each task, so only n rows of each are shuffled."""
+    """[LIM1, SRT3] n rows without replacement, in the order of their key (a number, a path); all rows if there are no more. The
+    n least hashes are kept in each task, so only n rows of each are shuffled."""
     return rows.orderBy(seeded_hash(F.col(key), seed), key).limit(n).orderBy(key)
 
 
@@ -84,13 +84,33 @@ def signal_sweep(grids: DataFrame, thresholds: list[float], signal: str = "rotat
 def score(docs: DataFrame, engine: str) -> DataFrame:
     """[CMP6] (doc_id, base, grids, bytes, notext, <engine> text, <engine>_s, <engine>_error) -> the same with a struct of the
     engine's metrics under its name; null where it failed. Tokens come from a column <engine>_tokens, null where unknown."""
-    t, base = F.col(engine), F.col("base")
-    out = T.without_markers(t)
+    t, out, base = F.col(engine), F.col("__out"), F.col("__base")
+    # markers hold digits of their own; without one the text's digits are the output's. Named columns are computed once.
+    bare = F.when(F.contains(t, F.lit(T.NO_TEXT_MARKER)), T.without_markers(t)).otherwise(t)
+    docs = docs.withColumns({"__out": T.digit_text(bare), "__base": T.digit_text(F.col("base"))})
     metrics = F.struct(
         T.glued(t).alias("glued"), T.mojibake(t).alias("mojibake"), T.mojibake_doc(t).alias("mojibake_doc"), T.phantom_rows(t, F.col("grids")).alias("phantom_rows"),
-        T.digit_excess(out, base).alias("digit_excess"), T.digit_deficit(out, base).alias("digit_deficit"), F.col(f"{engine}_tokens").alias("tokens"), F.col(f"{engine}_s").alias("s"),
+        T.digits_beyond(out, base).alias("digit_excess"), T.digits_beyond(base, out).alias("digit_deficit"), F.col(f"{engine}_tokens").alias("tokens"), F.col(f"{engine}_s").alias("s"),
     )
-    return docs.withColumn(engine, F.when(F.col(f"{engine}_error").isNull(), metrics))
+    return docs.withColumn(engine, F.when(F.col(f"{engine}_error").isNull(), metrics)).drop("__out", "__base")
+
+
+def exact_medians(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """[AGG8] -> (name, median) of each named number not below zero, the mean of the middle two for an even count, nulls left out;
+    names without a value have no row. Values are counted before the shuffle. No task holds all values of a column: the
+    middle ranks are looked for among sums over narrow ranges first, of which there are some ten thousand at most, then
+    among the distinct values of the ranges they lie in."""
+    each = rows.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, c in columns.items()]))).where("v is not null")
+    values = each.groupBy("name", "v").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.log1p("v") * 1000))
+    along = Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = values.groupBy("name", "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.withColumns({"before": F.coalesce(F.sum("n").over(along), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("name"))})
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1  # ranks from 1
+    holds = lambda before, n: ((low > before) & (low <= before + n)) | ((high > before) & (high <= before + n))
+    middle = ranges.where(holds(F.col("before"), F.col("n"))).select("name", "range", "before", "all")
+    inside = Window.partitionBy("name", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    v = values.join(middle, ["name", "range"]).withColumn("at", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return v.where(holds(F.col("at"), F.col("n"))).groupBy("name").agg(((F.min("v") + F.max("v")) / 2).alias("median"))
 
 
 COUNTERS = ("glued", "mojibake", "mojibake_doc", "phantom_rows", "digit_excess", "digit_deficit", "tokens")
@@ -99,7 +119,9 @@ COUNTERS = ("glued", "mojibake", "mojibake_doc", "phantom_rows", "digit_excess",
 def report(rows: DataFrame, engines: tuple[str, str], stock: str) -> DataFrame:
     """[CMP8: FLT9, FLT10, AGG6-AGG9, SNK5] Scored rows -> one row for each engine: counts over documents that both engines
     converted and whose source is well formed (by the stock engine's glue), failures over all. Aggregates alone: no name, path
-    or text of a document can come out."""
+    or text of a document can come out. The scores, a few numbers for each document, are kept until render.release()."""
+    held = getattr(rows, "_held", ())
+    rows = rows.select("bytes", "grids", "notext", *engines, *[f"{e}_error" for e in engines]).persist()
     ok = F.col(engines[0]).isNotNull() & F.col(engines[1]).isNotNull()
     well = ok & (F.col(f"{stock}.glued") <= T.BROKEN_SOURCE_GLUE)
     sums = [F.count_if(well).alias("n_docs"), F.count_if(ok & ~well).alias("n_broken"), F.sum(F.when(well, F.col("bytes"))).alias("bytes"), F.count_if(well & (F.col("grids") == 0)).alias("gridless"), F.sum(F.when(well, F.col("notext"))).alias("notext")]
@@ -107,12 +129,17 @@ def report(rows: DataFrame, engines: tuple[str, str], stock: str) -> DataFrame:
         pick = lambda c, e=e: F.when(well, F.col(f"{e}.{c}"))
         sums += [F.coalesce(F.sum(pick(c)), F.lit(0)).alias(f"{e}__{c}") for c in COUNTERS]
         sums += [F.count_if(pick("glued") > 0).alias(f"{e}__docs_with_glue"), F.count_if(F.col(f"{e}_error").isNotNull()).alias(f"{e}__failures"), F.round(F.sum(pick("s")), 4).alias(f"{e}__elapsed")]
-        sums += [F.coalesce(F.median(pick(c)), F.lit(0.0)).alias(f"{e}__median_{c}") for c in ("s", "glued", "digit_deficit")]
     wide = rows.agg(*sums)
-    per = (*COUNTERS, "docs_with_glue", "failures", "elapsed", "median_s", "median_glued", "median_digit_deficit")
+    per = (*COUNTERS, "docs_with_glue", "failures", "elapsed")
     shared = [F.col(c) for c in ("n_docs", "n_broken", "bytes", "gridless", "notext")]
     each = [F.struct(F.lit(e).alias("engine"), *shared, *[F.col(f"{e}__{c}").alias(c) for c in per]) for e in engines]
-    return wide.select(F.inline(F.array(*each)))
+    picked = {f"{e} {c}": F.when(well, F.col(f"{e}.{c}")) for e in engines for c in ("s", "glued", "digit_deficit")}
+    middle = exact_medians(rows, picked).select(F.split_part("name", F.lit(" "), F.lit(1)).alias("engine"), F.split_part("name", F.lit(" "), F.lit(2)).alias("what"), "median")
+    middle = middle.groupBy("engine").agg(*[F.max(F.when(F.col("what") == c, F.col("median"))).alias(f"median_{c}") for c in ("s", "glued", "digit_deficit")])
+    out = wide.select(F.inline(F.array(*each))).join(middle, "engine", "left")
+    out = out.select("engine", *[c for c in out.columns if c != "engine" and not c.startswith("median_")], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in middle.columns if c != "engine"])
+    out._held = (rows, *held)
+    return out
 
 
 LABEL_SCHEMA = "file_id string, bbox array<double>, nrows int, ncols int, cov double, ncells int, empty double, maxlen int, medlen int, p90len int, nmultiline int, nested_in int, page int, idx int, gid int, mlfrac double"

@@ -48,13 +48,25 @@ def cell_texts(chars: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.select(*key).distinct().join(text, key, "left")
 
 
+def by_page(rows: DataFrame) -> DataFrame:
+    """rows dealt by page and kept: every join, window and sum over pages below finds them where they are."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAGE).persist()
+
+
+def release(rendered: DataFrame) -> None:
+    """Give back what render_pages(), and what builds on it, keeps while its result is in use."""
+    for kept in getattr(rendered, "_held", ()):
+        kept.unpersist()
+
+
 def render_pages(pages: DataFrame, chars: DataFrame, words: DataFrame, cells: DataFrame, mode: str = "rowfill") -> DataFrame:
     """[CMP3, CMP9, CMP12] pages (doc_id, page_no, x0, top, x1, bottom), chars (.., char_seq, text, size, upright), words,
     cells (.., grid_id, row, col) -> (doc_id, page_no, text), pages without any text left out.
 
     mode rowfill: grids that pass the row-fill vote and are no chart debris, frames around them dropped. mode ct120: grids of
     two rows and columns at least, with no cell of over 120 characters, that contain no other grid. mode legacy: all grids,
-    without validation. Only the rowfill mode looks for columns."""
+    without validation. Only the rowfill mode looks for columns. Characters and cells are shuffled once, by page, and kept."""
+    chars, cells = by_page(chars), by_page(cells)
     rows = grid_rows(cell_texts(chars, cells))
     hull = cells.groupBy(*PAGE, "grid_id").agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
     grids = hull.join(rows, [*PAGE, "grid_id"])
@@ -66,7 +78,7 @@ def render_pages(pages: DataFrame, chars: DataFrame, words: DataFrame, cells: Da
         kept = G.without_frames(grids.where((F.size("rows") >= 2) & (F.size(F.element_at("rows", 1)) >= 2) & (wide <= 120)), among=hull)
     else:
         kept = grids
-    kept = kept.persist()  # three uses below; small beside the characters
+    kept = by_page(kept)  # three uses below; small beside the characters
     table = T.legacy_table(F.col("rows")) if mode == "legacy" else T.pipe_table(F.col("rows"))
     kept_cells = cells.join(kept.select(*PAGE, "grid_id"), [*PAGE, "grid_id"], "left_semi")
     if mode == "rowfill":
@@ -80,15 +92,24 @@ def render_pages(pages: DataFrame, chars: DataFrame, words: DataFrame, cells: Da
     prose = G.outside_cells(chars, kept_cells).join(gutter, PAGE, "left").withColumn("column", column)
     lines = G.words_and_lines(prose, [*PAGE, "column"]).where(F.col("text") != "")
     lines = lines.select(*PAGE, "column", "top", F.lit(False).alias("is_grid"), F.col("line").cast("long").alias("seq"), "text")
-    return paragraphs(tables.unionByName(lines))  # SET5
+    out = paragraphs(tables.unionByName(lines))  # SET5
+    out._held = (chars, cells, kept)
+    return out
 
 
 def render_documents(pages: DataFrame, chars: DataFrame, words: DataFrame, cells: DataFrame, mode: str = "rowfill") -> DataFrame:
     """[CMP4, SC19, AGG5] -> (doc_id, text): pages in order; a page without a character is marked, a page whose render is
     empty leaves no trace; the whole stripped."""
-    filled = chars.select(*PAGE).distinct().withColumn("__has", F.lit(True))
+    filled = chars.select(*PAGE).distinct()
     rendered = render_pages(pages, chars, words, cells, mode)
-    p = pages.select(*PAGE).join(filled, PAGE, "left").join(rendered, PAGE, "left")
+    out = join_pages(pages, filled, rendered)
+    out._held = rendered._held
+    return out
+
+
+def join_pages(pages: DataFrame, filled: DataFrame, rendered: DataFrame) -> DataFrame:
+    """[CMP4, SC19, AGG5] All pages (doc_id, page_no), those with a character, and rendered ones (.., text) -> (doc_id, text)."""
+    p = pages.select(*PAGE).join(filled.select(*PAGE).withColumn("__has", F.lit(True)), PAGE, "left").join(rendered, PAGE, "left")
     p = p.withColumn("text", F.when(F.col("__has").isNull(), T.no_text_marker(F.col("page_no"))).otherwise(F.coalesce("text", F.lit("")))).where(F.col("text") != "")
     joined = p.groupBy("doc_id").agg(T.strip(ordered_join(["page_no"], "text", "\n\n")).alias("text"))
     return pages.select("doc_id").distinct().join(joined, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
