@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import archive, corpus
+from vellum.operators import archive, corpus, measure
+from vellum.operators.render import ordered_join
+from vellum.sources import convert
+from vellum.streaming import ingest
 from vellum.plans.text_queries import DISTURBED, PIPED, sql_lines, sql_strip, table
 
 
@@ -99,17 +102,65 @@ def engine_diff(spark, sf_dir):
 
 
 def file_lookup(spark, sf_dir):
-    """[JN10, AGG10] Labels by an opaque id of their file; a third of the ids are unknown."""
-    ids = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("file_id"), F.concat("source", F.lit(".pdf")).alias("filename"))
+    """[JN10, AGG10] Labels by an opaque id of their file; a third of the files have another id than their labels."""
+    ids = table(spark, sf_dir, "documents").select(F.md5(F.expr("case when doc_id % 3 = 0 then concat('other ', doc_id) else cast(doc_id as string) end").cast("binary")).alias("file_id"), F.concat("source", F.lit(".pdf")).alias("filename"))
     labels = table(spark, sf_dir, "labels").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("file_id"), "quality")
     return corpus.with_file_names(labels, ids).groupBy("filename").agg(F.count("*").alias("n"), F.sum("quality").alias("good"))
 
 
 def conversation_export(spark, sf_dir):
     """[AGG5, SRT1] Turns in order, one text for each conversation."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    text = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n\n")
-    return c.select("conv_id", F.size("t").alias("n_turns"), F.md5(text.cast("binary")).alias("digest"))
+    c = table(spark, sf_dir, "conversations").withColumn("line", F.concat("role", F.lit(": "), "text"))
+    c = c.groupBy("conv_id").agg(F.count("*").cast("int").alias("n_turns"), ordered_join(["turn", "role"], "line", "\n\n").alias("t"))
+    return c.select("conv_id", "n_turns", F.md5(F.col("t").cast("binary")).alias("digest"))
+
+
+#: The bytes of a file of two pages for each customer, in SQL that both engines read: two lines of text, for a third of them a
+#: ruled grid, and a second page that for a seventh has no text and for an eleventh a glued run.
+_SAY = "'BT /F1 10 Tf {x} {y} Td (' || {text} || ') Tj ET' || chr(10)"
+_ONE = " || ".join(
+    [_SAY.format(x=72, y=700, text="c_mktsegment"), _SAY.format(x=72, y=680, text="c_name")]
+    + ["case when c_custkey % 3 = 0 then " + " || ".join(
+        f"'{x} {y} 120 24 re S' || chr(10) || " + _SAY.format(x=x + 4, y=y + 8, text=text)
+        for x, y, text in ((72, 500, "'key'"), (192, 500, "'nation'"), (72, 476, "c_custkey"), (192, 476, "c_nationkey"))
+    ) + " else '' end"]
+)
+_GLUE = "case when c_custkey % 11 = 0 then ' ' || repeat('x', 30) else '' end"
+_TWO = f"case when c_custkey % 7 = 0 then '0 0 m 10 10 l S' else {_SAY.format(x=72, y=700, text=f"'second page of ' || c_custkey || {_GLUE}")} end"
+
+
+def _object(number: int, body: str) -> str:
+    return f"'{number} 0 obj' || chr(10) || {body} || chr(10) || 'endobj' || chr(10)"
+
+
+def _stream(number: int, body: str) -> str:
+    return _object(number, f"'<< /Length ' || length({body}) || ' >>' || chr(10) || 'stream' || chr(10) || {body} || chr(10) || 'endstream'")
+
+
+def _page(number: int, content: int) -> str:
+    return _object(number, f"'<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> >> /Contents {content} 0 R >>'")
+
+
+PDF = " || ".join([
+    "'%PDF-1.4' || chr(10)", _object(1, "'<< /Type /Catalog /Pages 2 0 R >>'"), _object(2, "'<< /Type /Pages /Kids [4 0 R 6 0 R] /Count 2 >>'"),
+    _object(3, "'<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>'"), _page(4, 5), _stream(5, _ONE), _page(6, 7), _stream(7, _TWO), "'trailer << /Size 8 /Root 1 0 R >>'",
+])
+
+
+def _pdfs(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.expr("c_custkey || '.pdf'").alias("path"), F.expr(PDF).alias("t"))
+    return c.select("path", F.length("t").cast("long").alias("length"), F.col("t").cast("binary").alias("content"))
+
+
+def pdf_convert(spark, sf_dir):
+    """[CMP5, CMP4, CMP3, SRC2, SRC5, SRC8, PRJ2, SC3, FLT1] Files to texts, as a caller gets them."""
+    got = ingest.responses(convert.convert(_pdfs(spark, sf_dir)))
+    return got.select("filename", "content", F.col("tokens.before").alias("tokens_before"), F.col("tokens.unit").alias("unit"), F.col("tokens.units").alias("units"))
+
+
+def corpus_measure(spark, sf_dir):
+    """[CMP7, CMP8, CMP9, SC2] The whole measurement over files: parsed, rendered by both selections, scored, reported."""
+    return measure.report(measure.measure_files(_pdfs(spark, sf_dir)))
 
 
 _FILES = "f as (select doc_id, source || '.pdf' as name, strlen(text) as length, sha256(text) as h from documents)"
@@ -148,7 +199,7 @@ def _row(e: str) -> str:
 ORACLE = {
     "dedupe_content": f"with {_KEPT} select doc_id, name, length from k where n = 1",
     "duplicates_dropped": f"with {_KEPT} select count(*) filter (n > 1) as dropped from k",
-    "seeded_sample": "select doc_id, source, n_chars from documents order by (doc_id * 2654435761 + 7) % 4294967296, doc_id limit 100",
+    "seeded_sample": "select doc_id, source, n_chars from documents order by md5(doc_id || ':7'), doc_id limit 100",
     "grid_features": f"with {_CELLS} select gid, nrows, ncols, ncells, nfilled, nonblank, maxlen, medlen, p90len, nmultiline, round(empty, 6) as empty, round(rowfill, 6) as rowfill, round(mlfrac, 6) as mlfrac from g",
     "rule_sweep": f"with {_CELLS}, x as (select * from g join lab using (gid) where label <> 'A') "
     + " union all ".join(f"select '{r}' as rule, " + ", ".join(f"count(*) filter ({'not ' if w == 'dropped' else ''}({c}) and label = '{k}') as {w}_{k}" for k in "TFD" for w in ("kept", "dropped")) + " from x" for r, c in corpus.RULES.items()),
@@ -164,6 +215,12 @@ m as (select d.doc_id, n_chars, stock.error is null and own.error is null as ok,
     "engine_diff": f"""with s as (select doc_id, {DISTURBED} as a, {PIPED} as b from documents), l as (select doc_id, {sql_lines("a")} as a, {sql_lines("b")} as b from s)
 select doc_id, len(a)::int as n_left, len(b)::int as n_right, len(list_distinct(list_filter(a, lambda x: not list_contains(b, x))))::int as only_left, len(list_distinct(list_filter(b, lambda x: not list_contains(a, x))))::int as only_right from l""",
     "file_lookup": "select source || '.pdf' as filename, count(*) as n, sum(quality)::bigint as good from labels join documents using (doc_id) where doc_id % 3 <> 0 group by 1",
+    "pdf_convert": """select c_custkey || '.pdf' as filename, c_mktsegment || chr(10) || c_name || case when c_custkey % 3 = 0 then E'\\n\\n| key | nation |\\n| --- | --- |\\n| ' || c_custkey || ' | ' || c_nationkey || ' |' else '' end || E'\\n\\n'
+  || case when c_custkey % 7 = 0 then '[vellum: no extractable text layer on page 2]' else 'second page of ' || c_custkey || case when c_custkey % 11 = 0 then ' ' || repeat('x', 30) else '' end end as content,
+  4500 as tokens_before, 'page' as unit, 2 as units from customer""",
+    "corpus_measure": f"""select engine, count(*) as n_docs, 0 as n_broken, sum(length({PDF}))::bigint as bytes, count(*) filter (c_custkey % 3 <> 0) as gridless, count(*) filter (c_custkey % 7 = 0) as notext,
+  count(*) filter (c_custkey % 11 = 0 and c_custkey % 7 <> 0) as glued, 0 as mojibake, 0 as mojibake_doc, 0 as phantom_rows, 0 as digit_excess, 0 as digit_deficit, 0 as tokens, count(*) filter (c_custkey % 11 = 0 and c_custkey % 7 <> 0) as docs_with_glue,
+  0 as failures, null::double as elapsed, 0.0::double as median_s, 0.0::double as median_glued, 0.0::double as median_digit_deficit from customer, (values ('own'), ('stock')) v(engine) group by engine""",
     "conversation_export": "select conv_id, count(*)::int as n_turns, md5(string_agg(role || ': ' || text, E'\\n\\n' order by turn, role, text)) as digest from conversations group by conv_id",
 }
 QUERIES = {k: globals()[k] for k in ORACLE}

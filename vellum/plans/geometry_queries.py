@@ -97,7 +97,7 @@ def line_words(spark, sf_dir):
 def match_boxes(spark, sf_dir):
     """[JN11, WIN5]"""
     b = boxes(spark, sf_dir)
-    labels = b.where("grid_id % 3 = 0").select(F.col("grid_id").alias("gid"), "doc_id", "page_no", (F.col("x0") + F.col("grid_id") % 5 * 150 - 300).alias("x0"), "top")
+    labels = b.select(F.col("grid_id").alias("gid"), "doc_id", "page_no", (F.col("x0") + F.col("grid_id") % 5 * 150 - 300).alias("x0"), "top")
     return G.match_boxes(labels, b, tolerance=2000)
 
 
@@ -129,11 +129,11 @@ def render_table(spark, sf_dir):
 def document_join(spark, sf_dir):
     """[CMP4, SC19, AGG5, SC3, SRC8] Orders as the pages of a customer's document; every seventh has no text layer."""
     p = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").cast("int").alias("page_no"), "o_orderpriority", "o_orderstatus")
-    text = F.when(F.col("page_no") % 7 == 0, T.no_text_marker(F.col("page_no"))).when(F.col("page_no") % 11 == 0, "").otherwise(F.concat("o_orderpriority", F.lit("\n"), "o_orderstatus"))
-    p = p.withColumn("text", text)
-    out = p.groupBy("doc_id").agg(F.count("*").alias("units"), R.ordered_join(["page_no"], "text", "\x1e").alias("all"))
-    joined = T.strip(F.array_join(F.filter(F.split("all", "\x1e"), lambda x: x != ""), "\n\n"))
-    return out.select("doc_id", "units", T.tokens_before(F.lit(".pdf"), F.col("units")).alias("tokens_before"), F.md5(joined.cast("binary")).alias("digest"))
+    text = F.when(F.col("page_no") % 11 == 0, "").otherwise(F.concat("o_orderpriority", F.lit("\n"), "o_orderstatus"))
+    filled, rendered = p.where("page_no % 7 <> 0"), p.withColumn("text", text).where("page_no % 7 <> 0 and text <> ''")
+    joined = R.join_pages(p, filled, rendered.select("doc_id", "page_no", "text"))
+    units = p.groupBy("doc_id").agg(F.count("*").alias("units"))
+    return joined.join(units, "doc_id").select("doc_id", "units", T.tokens_before(F.lit(".pdf"), F.col("units")).alias("tokens_before"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 def _page_parts(orders):
@@ -151,9 +151,8 @@ def _page_parts(orders):
 
 
 def render_page(spark, sf_dir):
-    """[CMP3] A grid that passes the vote, a line of prose, and a one-column grid that falls back to prose; for the orders
-    that its SQL has, one in ten."""
-    return R.render_pages(*_page_parts(table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"))).select("doc_id", "text")
+    """[CMP3] A grid that passes the vote, a line of prose, and a one-column grid that falls back to prose, for every order."""
+    return R.render_pages(*_page_parts(table(spark, sf_dir, "orders"))).select("doc_id", "text")
 
 
 def variant_sweep(spark, sf_dir):
@@ -201,7 +200,7 @@ select doc_id, page_no, round(a / 60 * 61200, 3) as g0, round((a + run) / 60 * 6
 l as (select *, sum(new) over (partition by doc_id order by top, x0, char_seq rows unbounded preceding) as line from s),
 g as (select *, case when x0 / 100 > lag(x1 / 100) over v + 0.12 * 10 then ' ' else '' end as sep from l window v as (partition by doc_id, line order by x0, char_seq))
 select doc_id, line::bigint as line, min(top / 100) as top, trim(regexp_replace(string_agg(sep || text, '' order by x0, char_seq), ' +', ' ', 'g'), ' ') as text from g group by doc_id, line""",
-    "match_boxes": f"with {_B}, l as (select grid_id as gid, doc_id, x0 + grid_id % 5 * 150 - 300 as x0, top from b where grid_id % 3 = 0) select gid, min(b.grid_id) as grid_id from l join b on l.doc_id = b.doc_id and abs(l.x0 - b.x0) < 2000 and abs(l.top - b.top) < 2000 group by gid",
+    "match_boxes": f"with {_B}, l as (select grid_id as gid, doc_id, x0 + grid_id % 5 * 150 - 300 as x0, top from b) select gid, min(b.grid_id) as grid_id from l join b on l.doc_id = b.doc_id and abs(l.x0 - b.x0) < 2000 and abs(l.top - b.top) < 2000 group by gid",
     "partial_grids": f"""with {_B}, {_C}, w as (select * from c where regexp_matches(text, '\\p{{Nd}}')),
 j as (select b.grid_id, w.top >= b.top and w.bottom <= b.bottom and w.x0 >= b.x1 and w.x0 < b.x1 + 1.2 * (b.x1 - b.x0) / b.row as r, w.x0 >= b.x0 and w.x1 <= b.x1 and w.top >= b.bottom and w.top < b.bottom + 1.2 * (b.bottom - b.top) / (b.col + 1) as l from b left join w on b.doc_id = w.doc_id)
 select grid_id, count(*) filter (r) as right, count(*) filter (l) as below, count(*) filter (r) >= 2 or count(*) filter (l) >= 2 as partial from j group by grid_id""",
@@ -216,6 +215,6 @@ n as (select *, row_number() over (partition by doc_id order by i) as k from r),
 select doc_id, md5(text) as digest, (n + 1)::int as n_lines from t""",
     "document_join": f"""with p as (select o_custkey as doc_id, o_orderkey as k, case when o_orderkey % 7 = 0 then '[vellum: no extractable text layer on page ' || o_orderkey || ']' when o_orderkey % 11 = 0 then '' else o_orderpriority || E'\\n' || o_orderstatus end as text from orders)
 select doc_id, count(*) as units, count(*) * 2250 as tokens_before, md5({sql_strip("coalesce(string_agg(text, E'\\n\\n' order by k) filter (text <> ''), '')")}) as digest from p group by doc_id""",
-    "render_page": f"select o_orderkey as doc_id, {_PAGE_TEXT} as text from orders where o_orderkey % 10 = 0",
+    "render_page": f"select o_orderkey as doc_id, {_PAGE_TEXT} as text from orders",
 }
 QUERIES = {k: globals()[k] for k in ORACLE} | {"variant_sweep": variant_sweep, "html_to_markdown": html_to_markdown}

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.operators import corpus
+from vellum.streaming import ingest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +67,8 @@ def quality_totals(spark, sf_dir):
 def quality_medians(spark, sf_dir):
     """[AGG8] Exact medians."""
     q = quality_score(spark, sf_dir).join(digit_parity(spark, sf_dir), "doc_id")
-    return q.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"median_{c}") for c in ("glued", "mojibake", "digit_deficit")])
+    m = corpus.exact_medians(q, {c: F.col(c) for c in ("glued", "mojibake", "digit_deficit")})
+    return m.agg(*[F.coalesce(F.max(F.when(F.col("name") == c, F.col("median"))), F.lit(0.0)).alias(f"median_{c}") for c in ("glued", "mojibake", "digit_deficit")])
 
 
 def mojibake_by_lang(spark, sf_dir):
@@ -83,7 +86,7 @@ def pipe_rows(spark, sf_dir):
     """[SC14, SC16, SC15, AGG12]"""
     d = table(spark, sf_dir, "documents").select("doc_id", F.expr(PIPED_SPARK).alias("text"), (F.col("doc_id") % 4).alias("grids"))
     t = F.col("text")
-    return d.select("doc_id", F.size(T.split_lines(t)).alias("n_lines"), T.pipe_rows(t).alias("pipe_rows"), T.phantom_rows(t, F.col("grids")).alias("phantom_rows"), T.blob_lines(t).alias("blob_lines"), T.paragraph_cells(t).alias("paragraph_cells"))
+    return d.select("doc_id", T.line_count(t).alias("n_lines"), T.pipe_rows(t).alias("pipe_rows"), T.phantom_rows(t, F.col("grids")).alias("phantom_rows"), T.blob_lines(t).alias("blob_lines"), T.paragraph_cells(t).alias("paragraph_cells"))
 
 
 MARKED = r"case when doc_id % 2 = 0 then replace(text, E'\n', E'\n[vellum: no extractable text layer on page 12]\n') else text end"
@@ -150,10 +153,10 @@ def route(spark, sf_dir):
 
 
 def batch_events(spark, sf_dir):
-    """[PRJ2, PRJ3, FLT6, SC23] An event for each file: saved or refused."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), (F.col("n_chars") * 100000).alias("size"))
-    ok = F.col("size") <= T.MAX_UPLOAD_BYTES
-    return d.select("doc_id", "filename", F.when(ok, "ok").otherwise("error").alias("status"), F.when(ok, F.concat(T.safe_stem(F.col("filename")), F.lit(".md"))).alias("saved_as"), F.when(~ok, F.lit("File too large (200 MB max)")).alias("detail"))
+    """[PRJ3, FLT6, SC23, WIN3] An event for each file: saved under a free name of its stem, or refused."""
+    d = table(spark, sf_dir, "documents").select(F.expr("concat('/in/', doc_id, '/doc ', doc_id % 100, '.txt')").alias("path"), "text", (F.col("n_chars") * 100000).alias("size"))
+    files = d.withColumn("error", ingest.refusal(F.col("size")))
+    return ingest.events(files).select("path", "filename", "status", "saved_as", "detail")
 
 
 def error_details(spark, sf_dir):
@@ -166,7 +169,7 @@ def error_details(spark, sf_dir):
 def changelog(spark, sf_dir):
     """[SC24]"""
     d = table(spark, sf_dir, "documents")
-    log = F.expr("'# Log\n\n## v1.2.0 (new)\n' || case when doc_id % 3 = 0 then '' else substring(text, 1, 40) end || '\n## v1.1.0\nold\n'")
+    log = F.expr("'# Log\n\n## v1.2.0 (new)\n' || case when doc_id % 3 = 0 then '' else text end || '\n## v1.1.0\nold\n'")
     return d.select("doc_id", T.changelog_section(log, "1.2.0").alias("section"), T.changelog_section(log, "1.1.0").alias("older"), T.changelog_section(log, "9.9").alias("missing"))
 
 
@@ -210,9 +213,10 @@ select page_id, case when st = '' then 'file' else st end as stem, coalesce(case
 b as (select *, case when suffix <> '.docx' then units * 2250 end as before from o), p as (select *, floor((1 - after / nullif(before, 0)) * 100 + 0.5)::bigint as pct from b)
 select o_orderkey, before as tokens_before, case suffix when '.pdf' then 'page' when '.pptx' then 'slide' end as unit, case when pct > 0 then least(pct, 100) end as savings from p""",
     "route": """select doc_id, case when doc_id % 3 <> 2 and (doc_id % 5 in (0, 1, 3) or (doc_id % 5 = 4 and contains(left(text, 1000), '%PDF'))) then 'pdf' else 'generic' end as route from documents""",
-    "batch_events": """with d as (select doc_id, 'doc ' || doc_id || '.txt' as filename, n_chars * 100000 as size from documents)
-select doc_id, filename, case when size <= 209715200 then 'ok' else 'error' end as status, case when size <= 209715200 then 'doc ' || doc_id || '.md' end as saved_as, case when size > 209715200 then 'File too large (200 MB max)' end as detail from d""",
+    "batch_events": """with d as (select '/in/' || doc_id || '/doc ' || doc_id % 100 || '.txt' as path, 'doc ' || doc_id % 100 as stem, n_chars * 100000 > 209715200 as large from documents),
+k as (select *, row_number() over (partition by stem, large order by path) as k from d)
+select path, stem || '.txt' as filename, case when large then 'error' else 'ok' end as status, case when large then null when k = 1 then stem || '.md' else stem || ' (' || k || ').md' end as saved_as, case when large then 'File too large (200 MB max)' end as detail from k""",
     "error_details": "select event_id, case event_id % 3 when 0 then 'bad ' || event_type else 'Conversion failed' end as detail from events",
-    "changelog": f"select doc_id, case when doc_id % 3 = 0 then '' else {sql_strip('left(text, 40)')} end as section, 'old' as older, null::varchar as missing from documents",
+    "changelog": f"select doc_id, case when doc_id % 3 = 0 then '' else {sql_strip('text')} end as section, 'old' as older, null::varchar as missing from documents",
 }
 QUERIES = {k: globals()[k] for k in ORACLE}
