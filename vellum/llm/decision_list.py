@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, id_col:
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return []
-    chosen = drawn(known, ["y"], "doc_id", per_class)  # 2 * per_class ids
+    chosen = drawn(known, "y", "doc_id", per_class, counts)  # 2 * per_class ids
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     rows = base_statistics(texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")).join(F.broadcast(chosen), "doc_id")
     rows = rows.select("y", *FEATURES).orderBy(F.xxhash64("doc_id"), *FEATURES, "y").limit(4 * per_class).collect()

@@ -21,6 +21,8 @@ from .common import crc_fold, drawn
 UNKNOWN = "und"
 #: N-grams of a profile, the longest n-gram, and how many texts of a language teach its profile.
 TOP, LONGEST, PER_LANGUAGE = 400, 3, 600
+#: Longer texts teach no profile: what the driver gathers is bounded in bytes too.
+MOST_BYTES = 1 << 18
 _BITS = 21  # a code point
 
 
@@ -94,21 +96,27 @@ def build(texts_by_language: dict[str, list[str]]) -> Profiles:
     return Profiles(tuple(lists), every, ranks)
 
 
-def _sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
+def _sample(docs: DataFrame, per_language: int, most_bytes: int, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
     """per_language texts of each language, chosen by the hash of their id, first by ids alone."""
-    ids = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    chosen = drawn(ids, ["lang"], "id", per_language)  # per_language ids of each language
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    rows = drawn(rows.join(F.broadcast(chosen.distinct()), ["id", "lang"]), ["lang"], "id", per_language).collect()
+    known = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(F.col(text_col)) <= most_bytes))
+    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not counts:
+        return {}
+    chosen = drawn(ids, "lang", "id", per_language, counts).distinct()  # per_language ids of each language
+    rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
+    rows = rows.join(F.broadcast(chosen), ["id", "lang"]).withColumn("h", F.xxhash64("id"))
+    rows = rows.orderBy("h", "id", "lang", "t").limit(per_language * len(counts)).collect()
     by: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["id"] is None, r["id"], r["t"])):
+    for r in sorted(rows, key=lambda r: (r["id"], r["t"])):
         by.setdefault(r["lang"], []).append(r["t"])
     return by
 
 
-def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Profiles from a bounded sample of labelled texts. Null texts and null languages teach nothing; no rows: no languages."""
-    return build(_sample(docs, per_language, id_col, text_col, lang_col))
+def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
+    """Profiles from a bounded sample of labelled texts: per_language of each language, none of more than most_bytes. Null
+    texts, ids and languages teach nothing; no rows: no languages."""
+    return build(_sample(docs, per_language, most_bytes, id_col, text_col, lang_col))
 
 
 def floor(profiles: Profiles, texts: list[str]) -> float:
@@ -118,9 +126,9 @@ def floor(profiles: Profiles, texts: list[str]) -> float:
     return scores[len(scores) // 100] / 2 if scores else 0.0
 
 
-def train_with_floor(docs: DataFrame, *, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[Profiles, float]:
+def train_with_floor(docs: DataFrame, *, per_language: int = PER_LANGUAGE, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[Profiles, float]:
     """The profiles and the floor, both from the same sample."""
-    by = _sample(docs, per_language, id_col, text_col, lang_col)
+    by = _sample(docs, per_language, most_bytes, id_col, text_col, lang_col)
     profiles = build(by)
     return profiles, floor(profiles, [t for texts in by.values() for t in texts])
 
@@ -134,7 +142,7 @@ def with_language(docs: DataFrame, profiles: Profiles, lang: str = "lang_pred",
         for texts in batches:
             yield pd.DataFrame([profiles.identify(t) for t in texts], columns=["lang", "score"])
 
-    found = "__found"
+    found = "__vellum_found"
     return docs.withColumn(found, run(F.col(text_col))).withColumns({lang: F.col(found)["lang"], score: F.col(found)["score"]}).drop(found)
 
 

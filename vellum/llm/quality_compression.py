@@ -1,8 +1,8 @@
 """Quality classifier (3): two zstandard dictionaries, one from good and one from bad labelled text.
 
-A text is cut into chunks, every chunk is compressed with either dictionary, and the normalised difference of the two sizes,
-with the compressed share of the text beside it, becomes a probability by a logistic curve fitted on labelled texts that the
-dictionaries have not seen.
+A text is cut into short chunks, every chunk is compressed with either dictionary, and the normalised difference of the two
+summed sizes becomes a probability by a logistic curve, fitted on labelled texts that the dictionaries have not seen. The chunks
+are short so that what a text shares with a dictionary weighs more than what it repeats of itself.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ class CompressionModel:
         weights = np.array(self.weights)
 
         def score(text: bytes | None) -> float:
-            z = float(_terms(_sizes(text or b"", by, self.chunk)) @ weights)
+            z = float(_terms(_difference(text or b"", by, self.chunk)) @ weights)
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
         return score
@@ -50,22 +50,21 @@ class CompressionModel:
 _FRAME = 4
 
 
-def _sizes(text: bytes, by: list, chunk: int) -> tuple[float, float]:
-    """(normalised difference of the sizes, logarithm of the mean compressed share)."""
+def _difference(text: bytes, by: list, chunk: int) -> float:
+    """The normalised difference of the compressed sizes: above 0, the good dictionary does better. Empty text: 0."""
     good = bad = 1
-    for i in range(0, max(1, len(text)), chunk):
+    for i in range(0, len(text), chunk):
         piece = text[i : i + chunk]
         good += len(by[0].compress(piece)) - _FRAME
         bad += len(by[1].compress(piece)) - _FRAME
-    return (bad - good) / (bad + good), math.log((good + bad) / 2 / (len(text) + 1))
+    return (bad - good) / (bad + good)
 
 
-def _terms(x: tuple[float, float]) -> np.ndarray:
-    d, r = 10 * x[0], x[1]
-    return np.array([d, r, r * r, d * r, 1.0])
+def _terms(d: float) -> np.ndarray:
+    return np.array([10 * d, 1.0])
 
 
-def _dictionary(texts: list[bytes], size: int, piece: int = 2000) -> tuple[bytes, bool]:
+def _dictionary(texts: list[bytes], size: int, piece: int) -> tuple[bytes, bool]:
     """Lines that several of the texts have are left out: a passage shared by many says nothing of its class."""
     seen: dict[bytes, int] = {}
     for t in texts:
@@ -103,28 +102,28 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, size: int = 112 << 10, chunk: int = 2000, level: int = 3,
+def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, most_bytes: int = 1 << 18, size: int = 112 << 10, chunk: int = 120, level: int = 3,
           id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> CompressionModel | None:
-    """Fit on a bounded sample: per_class labelled rows of either class, chosen by the hash of their id; half of them make
-    the dictionaries, half the curve. The class shares are counted over all labelled rows. None if a class has no rows.
-    Only ids, text and label are read; rows with a null label or a null text teach nothing."""
+    """Fit on a bounded sample: per_class labelled rows of either class, chosen by the hash of their id, without texts of more
+    than most_bytes; half of them make the dictionaries, half the curve. The class shares are counted over all labelled rows.
+    None if a class has no rows. Only ids, text and label are read; rows with a null label, id or text teach nothing."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
-    chosen = drawn(known, ["y"], "id", per_class)  # 2 * per_class ids
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).where(F.col("t").isNotNull())
+    chosen = drawn(known, "y", "id", per_class, counts)  # 2 * per_class ids
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).where(F.octet_length("t") <= most_bytes)
     rows = rows.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "t", "y").limit(2 * per_class).collect()
     of = {y: [bytes(r["t"]) for r in rows if r["y"] == y] for y in (1, 0)}
     if min(map(len, of.values())) < 2:
         return None
-    made = [_dictionary(of[y][::2], size) for y in (1, 0)]
+    made = [_dictionary(of[y][::2], size, chunk) for y in (1, 0)]
     trained = all(m[1] for m in made)
     if not trained:
         made = [(b"\n".join(of[y][::2])[-size:], False) for y in (1, 0)]
     kind = zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT
     by = [zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(m[0], dict_type=kind), write_content_size=False, write_dict_id=False) for m in made]
-    seen = [(_terms(_sizes(t, by, chunk)), y) for y in (1, 0) for t in of[y][1::2]]
+    seen = [(_terms(_difference(t, by, chunk)), y) for y in (1, 0) for t in of[y][1::2]]
     x, y = np.array([s for s, _ in seen]), np.array([float(s) for _, s in seen])
     w = _fit(x, y)
     w[-1] += math.log(counts[1] / counts[0]) - math.log(max(1, y.sum()) / max(1, (1 - y).sum()))
