@@ -1,6 +1,6 @@
 """Sharding (9): contiguous shards of near equal bytes from global prefix sums.
 
-Rows are ordered by (hash of text, id); per-partition totals give every partition its offset, and a running sum inside the
+Rows are ordered by (60 bits of the text's digest, id); per-partition totals give every partition its offset, and a running sum inside the
 partition gives every row its global byte position. Shards are cut at equal byte targets, each cut moved to the nearer edge
 of the group of equal texts in which it falls, so that copies stay in one shard.
 """
@@ -25,7 +25,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias("text_hash"),
     )
     order = ["text_hash", "doc_id"]
     ranged = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -82,3 +82,24 @@ def op9_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = shard_by_bytes(docs, shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _crc_table() -> list[int]:
+    """The table of CRC-32 by its rule: the reflected polynomial (fixed value), eight steps for each byte."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+ORACLE = f"""with k as (select {_crc_table()}::bigint[] as k),
+d as (select doc_id, coalesce(text, '') as t, strlen(t) + 1 as size, ('0x' || left(md5(t), 15))::bigint as h from documents),
+s as (select *, sum(size) over w - size as start, row_number() over w - 1 as row, sum(size) over () as total from d window w as (order by h, doc_id rows unbounded preceding)),
+g as (select h, min(start) as a, max(start + size) as b, min(row) as i, max(row) as j from s group by h),
+goals as (select distinct total * k // 8 as goal from s, range(1, 8) r(k)),
+cuts as (select case when goal - a < b - goal then a else b end as cut, case when goal - a < b - goal then i else j + 1 end as first, n from (select goal, count(*) over (order by goal) as n from goals) join g on a <= goal and goal < b)
+select s.doc_id, s.size, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::bigint)), lambda c, b: xor(c >> 8, k[(xor(c, b) & 255) + 1])), 4294967295) as text_crc32,
+  'bytes' as law, coalesce(max(n), 0)::int as shard, (s.row - coalesce(max(first), 0))::bigint as slot, null::int as grown_shard
+from k, s left join cuts on cut <= s.start group by s.doc_id, s.size, s.t, s.row, k"""
