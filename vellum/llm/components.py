@@ -15,19 +15,26 @@ def _mins(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("u").agg(F.min("v").alias("m"))
 
 
+def _with_mins(arcs: DataFrame, hubs: int = 1000) -> DataFrame:
+    """arcs with the least neighbour m of u. Minima are formed in each task before the shuffle. Arcs of a node that has more
+    than one in `hubs` of all meet its minimum by a broadcast, of at most `hubs` rows, and so never gather in one task."""
+    total = arcs.count()
+    mins = arcs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    large = F.broadcast(mins.where(F.col("n") > total // hubs + 1).select("u", "m"))
+    return arcs.join(large, "u").unionByName(arcs.join(large, "u", "left_anti").join(mins.select("u", "m"), "u"))
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the least of it and its neighbours."""
     arcs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    j = arcs.join(_mins(arcs), "u").where("v > u")
-    return j.select(F.least("u", "m").alias("a"), F.col("v").alias("b"))
+    return _with_mins(arcs).where("v > u").select(F.least("u", "m").alias("a"), F.col("v").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours move to the least of those."""
     arcs = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    mins = _mins(arcs)
-    moved = arcs.join(mins, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-    return moved.unionAll(mins.select(F.col("m").alias("a"), F.col("u").alias("b")))
+    moved = _with_mins(arcs).select(F.col("m").alias("a"), F.col("v").alias("b"))
+    return moved.unionAll(_mins(arcs).select(F.col("m").alias("a"), F.col("u").alias("b")))
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +66,7 @@ def connected_components(edges: DataFrame, one_task: int = 2_000_000, rounds: in
 
     Nodes without a link do not appear; self links and links with a null end are ignored; no links, no rows. Links stay on the
     executors; the driver sees counts alone. While there are more than one_task distinct links (of 16 bytes), star steps run
-    over all tasks: minima are pre-aggregated before each shuffle and joined back, so a hub's links never gather in one task.
+    over all tasks, and a hub's links never gather in one; the links that are left, at most one_task, end in one task.
     Every round is written to the shared scratch folder. Both ways give the same rows."""
     e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now, before = materialize(e, "links"), None

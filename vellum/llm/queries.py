@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decision_list, language_profiles, licences, mixing, oph, piece_matching, quality_compression, sharding, simhash, url_reputation
+from . import decision_list, language_profiles, licences, mixing, oph, piece_matching, quality_compression, sharding, simhash, simhash_sql, url_reputation
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_reputation.ORACLE}
+    return {"op1_simhash_near_dedup": simhash_sql.ORACLE, "op2_url_filters": url_reputation.ORACLE, "op9_sharding": sharding.ORACLE}

@@ -6,29 +6,36 @@ grid: segments are dealt to `slabs` slabs; two points within distance r differ i
 cell of at least one sub-grid made of slabs - r slabs. Fingerprints join on the cell, are held against the Manhattan bound,
 and are verified by the exact Hamming distance.
 
-Equal fingerprints are one point. Inside a cell every point is first held against the cell's least point; the components of
-those links are then known, and the join proper emits only pairs of different components. A group of n near copies so costs
-about n links, not n * n, and no link that joins two components is lost.
+Equal fingerprints are one point. Inside a cell every point is first held against the cell's least and greatest point; the
+components of those links are then known, and the join proper meets only cells with points of several components and emits
+only pairs of different ones. A group of n near copies so costs about n links, not n * n, and no link that joins two components
+is lost. A cell with very many points is not searched pair by pair: its points are dealt anew to a finer grid, whose
+cells are smaller, which finds all of their links.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices, small_batches
 from .components import connected_components
 
 SEGMENTS = 32
 _EVERY_OTHER = 0x5555555555555555
 _CHUNK = 1 << 15
-#: What it costs to shuffle and sort a point's row of a sub-grid, in comparisons of two points of a cell.
+#: What it costs to shuffle and sort a point's row of a sub-grid, in comparisons of two points of a cell. Measured, README.
 _ROW = 50
+#: Slabs at least: 35 sub-grids serve up to some forty million points, so what is measured on small tables holds for those.
+_SLABS = 7
+#: Points of a cell beyond which they go to a grid of so many more slabs, and the finest grid there is.
+CELL, FINER, FINEST = 2_000, 3, 16
 
 
 def _signed(x: int) -> int:
@@ -71,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id"
     """-> (doc_id, fp long). Whole texts, one pass, no shuffle. Null and blank texts: zero."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = [_signed(majority(shingle_hashes(t, shingle_words))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -97,9 +104,11 @@ def grid_masks(radius: int, slabs: int) -> list[int]:
 
 
 def grid_cells(points: DataFrame, radius: int, slabs: int, fp: str = "fp") -> DataFrame:
-    """points with (grid, cell): one row for each sub-grid of slabs - radius slabs."""
-    cells = F.posexplode(F.array(*[embedding(F.col(fp)).bitwiseAND(F.lit(m)) for m in grid_masks(radius, slabs)]))
-    return points.select("*", cells.alias("grid", "cell"))
+    """points with (grid, cell): one row for each sub-grid of slabs - radius slabs. The masks are one literal, so that the plan
+    is as small for hundreds of sub-grids as for a few."""
+    e = "__vellum_embedding"
+    cells = F.posexplode(F.transform(F.lit(grid_masks(radius, slabs)), lambda m: F.col(e).bitwiseAND(m)))
+    return points.withColumn(e, embedding(F.col(fp))).select("*", cells.alias("grid", "cell")).drop(e)
 
 
 def manhattan(a: Column, b: Column, slabs: int) -> Column:
@@ -114,35 +123,51 @@ def hamming(a: Column, b: Column) -> Column:
 
 def slabs_for(points: int, radius: int) -> int:
     """The number of slabs that makes grid rows and expected pairs in cells together fewest. A two-bit segment's count of
-    two unrelated fingerprints agrees with probability 3/8. Any number gives the same links; the least possible one, with cells
-    of a single slab, is not considered."""
+    two unrelated fingerprints agrees with probability 3/8. Any number gives the same links."""
 
     def cost(s: int) -> float:
-        from math import comb
-
         return comb(s, radius) * (_ROW + points * 0.375 ** (SEGMENTS * (s - radius) / s))
 
-    return min(range(radius + 2, 17), key=cost)
+    return min(range(max(_SLABS, radius + 2), FINEST + 1), key=cost)
 
 
-def fingerprint_components(fps: DataFrame, radius: int = 4, slabs: int | None = None) -> DataFrame:
-    """Distinct (fp) -> (fp, root): root is the same for all fingerprints that links of at most radius bits connect."""
-    points = materialize(fps.select("fp").distinct(), "points")
-    slabs = slabs or slabs_for(points.count(), radius)
+def _celled(points: DataFrame, radius: int, slabs: int) -> DataFrame:
+    """points with one cell number for each sub-grid. Cells whose numbers happen to be equal only add pairs to be refused."""
+    return grid_cells(points, radius, slabs).withColumn("cell", F.xxhash64("grid", "cell")).drop("grid")
 
-    cells = grid_cells(points, radius, slabs)
-    least = F.min("fp").over(Window.partitionBy("grid", "cell"))
-    stars = cells.withColumn("a", least).where((F.col("fp") != F.col("a")) & (hamming(F.col("fp"), F.col("a")) <= radius))
-    roots = materialize(connected_components(stars.select("a", F.col("fp").alias("b"))), "stars")
 
-    rooted = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
-    both = grid_cells(materialize(rooted, "rooted"), radius, slabs)
-    x, y = both.alias("x"), both.alias("y")
+def _links(rooted: DataFrame, radius: int, slabs: int, most: int) -> DataFrame:
+    """(a, b): roots of all pairs of points (fp, root) within the radius that have different roots."""
+    cells = _celled(rooted, radius, slabs)
+    several = cells.groupBy("cell").agg(F.count("*").alias("points"), F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("cell", "points")
+    finest = slabs >= FINEST
+    open_ = materialize(cells.join(several, "cell"), "cells")
+    small = open_ if finest else open_.where(F.col("points") <= most)
+    x, y = small.alias("x"), small.alias("y")
     near = (
-        (F.col("x.grid") == F.col("y.grid")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root"))
+        (F.col("x.cell") == F.col("y.cell")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root"))
         & (manhattan(F.col("x.fp"), F.col("y.fp"), slabs) <= radius) & (hamming(F.col("x.fp"), F.col("y.fp")) <= radius)
     )
-    across = connected_components(x.join(y, near).select(F.col("x.root").alias("a"), F.col("y.root").alias("b")))
+    links = x.join(y, near).select(F.col("x.root").alias("a"), F.col("y.root").alias("b"))
+    if finest or not open_.where(F.col("points") > most).limit(1).count():
+        return links
+    hot = materialize(open_.where(F.col("points") > most).select("fp", "root").distinct(), "hot")
+    return links.unionAll(_links(hot, radius, min(FINEST, slabs + FINER), most))
+
+
+def fingerprint_components(fps: DataFrame, radius: int = 4, slabs: int | None = None, most: int = CELL) -> DataFrame:
+    """Distinct (fp) -> (fp, root): root is the same for all fingerprints that links of at most radius bits connect.
+
+    Cells of more than `most` points go to finer grids; at any number of slabs and of points to a cell the result is the same."""
+    points = materialize(fps.select("fp").distinct(), "points")
+    slabs = slabs or slabs_for(points.count(), radius)
+
+    cells = _celled(points, radius, slabs)
+    ends = cells.groupBy("cell").agg(F.min("fp").alias("p"), F.max("fp").alias("q")).where("p <> q")
+    stars = cells.join(ends, "cell").select("fp", F.explode(F.array("p", "q")).alias("a")).where((F.col("fp") != F.col("a")) & (hamming(F.col("fp"), F.col("a")) <= radius))
+    roots = connected_components(stars.select("a", F.col("fp").alias("b")))
+    rooted = materialize(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")), "rooted")
+    across = connected_components(_links(rooted, radius, slabs, most))
     return rooted.join(across.withColumnRenamed("node", "root"), "root", "left").select("fp", F.coalesce("component", "root").alias("root"))
 
 
@@ -152,7 +177,8 @@ def simhash_components(docs: DataFrame, shingle_words: int = 4, radius: int = 4,
 
     Null and blank texts have fingerprint zero and link like any other. Repeated rows give repeated rows. A component whose
     ids are all null has a null component_id. An empty table gives no rows. Other columns are not read."""
-    fps = materialize(fingerprints(docs, shingle_words, id_col, text_col), "fps")
+    with small_batches(docs.sparkSession):
+        fps = materialize(fingerprints(docs, shingle_words, id_col, text_col), "fps")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = fingerprint_components(fps, radius)
     named = roots.join(least, "fp")
