@@ -22,11 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _INF = np.int64(1) << 40
 #: Bytes of text that one step handles, and characters of distinct segments that one suffix array indexes.
-STEP_CHARS, INDEX_CHARS = 3_000_000, 500_000
+STEP_CHARS, INDEX_CHARS = 1_000_000, 250_000
 #: Segments kept between steps, each of at most so many characters; longer segments are relaxed with a heap.
 KEPT_SEGMENTS, KEPT_CHARS, HEAP_CHARS = 200_000, 64, 2_000
 
@@ -330,7 +332,7 @@ def encode_documents(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", te
 
     def run(batches):
         matcher = Matcher(pieces)
-        for b in batches:
+        for b in slices(batches, 1 << 30):
             column = b.column(1)
             for x, y in _steps(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)):
                 texts = [t or "" for t in column.slice(x, y - x).to_pylist()]
@@ -357,5 +359,6 @@ def decode_documents(encoded: DataFrame, pieces: Pieces, id_col: str = "doc_id",
     return rows.mapInArrow(run, "doc_id long, text string")
 
 
-def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), Pieces.load())
+def op6_sentencepiece(spark, sf_dir: str, model: str = MODEL) -> DataFrame:
+    """model: a vocabulary file, read on the driver alone; what it holds travels with the tasks."""
+    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), Pieces.load(model))
