@@ -157,7 +157,7 @@ class LicenceModel:
 
     def confirmed(self, family: str, ws: list[str]) -> tuple[float, int, int]:
         """(share, first, last + 1): the greatest share of a template's word pairs that stand together in the words, over the
-        family's templates, and where. Of equal ones the first."""
+        family's templates, and the shortest place that has them. Of equal ones the first."""
         best = (0.0, 0, 0)
         pairs = list(zip(ws, ws[1:]))
         for f, wanted in self.templates:
@@ -166,7 +166,8 @@ class LicenceModel:
                 for run in _runs(at):
                     share = len({pairs[i] for i in run}) / len(wanted)
                     if share > best[0]:
-                        best = (share, run[0], run[-1] + 2)
+                        first, last = _shortest([pairs[i] for i in run], run)
+                        best = (share, first, last + 2)
         return best
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float, float]]:
@@ -259,6 +260,22 @@ def _runs(at: list[int]) -> list[list[int]]:
     return out
 
 
+def _shortest(pairs: list, at: list[int]) -> tuple[int, int]:
+    """Where the shortest stretch begins and ends that has every one of the pairs, which stand at ascending places: of a notice
+    that is repeated, one copy. Of equally short ones the first."""
+    every, seen, left, best = len(set(pairs)), {}, 0, (at[0], at[-1])
+    for right, pair in enumerate(pairs):
+        seen[pair] = seen.get(pair, 0) + 1
+        while len(seen) == every:
+            if at[right] - at[left] < best[1] - best[0]:
+                best = (at[left], at[right])
+            seen[pairs[left]] -= 1
+            if not seen[pairs[left]]:
+                del seen[pairs[left]]
+            left += 1
+    return best
+
+
 def _steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     a = size = 0
     for i, t in enumerate(texts):
