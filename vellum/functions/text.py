@@ -138,13 +138,13 @@ def reflow(text: Column) -> Column:
 
 def blob_lines(text: Column) -> Column:
     """[AGG12] Lines of more than 300 characters."""
-    return F.regexp_count(text, F.lit(f"[^{ENDS}]{{301,}}"))
+    return F.regexp_count(text, F.lit(rf"(?:\A|[{ENDS}])[^{ENDS}]{{301,}}"))  # tried at the beginnings of lines alone
 
 
 def paragraph_cells(text: Column) -> Column:
     """[AGG12] Cells of table lines with more than 300 characters."""
     rows = F.regexp_extract_all(text, F.lit(f"{_TABLE_LINE}([^{ENDS}]*)"))
-    return F.regexp_count(F.array_join(rows, "|"), F.lit("[^|]{301,}"))
+    return F.regexp_count(F.array_join(rows, "|"), F.lit(r"(?:\A|\|)[^|]{301,}"))
 
 
 def safe_stem(name: Column) -> Column:

@@ -73,9 +73,8 @@ def nested_cells(cells: DataFrame) -> DataFrame:
 def subtract_nested(chars: DataFrame, cells: DataFrame) -> DataFrame:
     """[JN4, CMP1] The characters of each cell (doc_id, page_no, grid_id, row, col and the columns of chars) without those
     that a cell nested in it claims. A cell without nested cells keeps all of its own."""
-    held = chars_in_cells(chars, cells.select(*PAGE, "grid_id", "row", "col", *BOX)).alias("c")
-    where = cells.select(*PAGE, "grid_id", "row", "col", *[F.col(b).alias(f"out_{b}") for b in BOX])
-    held = held.join(where, [*PAGE, "grid_id", "row", "col"])
+    on = _same_page("c", "b") & _inside("c", "b", closed=False)
+    held = chars.alias("c").join(cells.alias("b"), on).select("c.*", "b.grid_id", "b.row", "b.col", *[_c("b", x).alias(f"out_{x}") for x in BOX])
     inner = nested_cells(cells).alias("n")
     same = (_c("h", "doc_id") == _c("n", "doc_id")) & (_c("h", "page_no") == _c("n", "page_no")) & (_c("h", "grid_id") == _c("n", "grid_id"))
     for b in BOX:
