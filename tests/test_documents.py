@@ -1,6 +1,7 @@
 """Whole files to Markdown: every fixture in one job."""
 
 import io
+import os
 import zipfile
 
 import pytest
@@ -10,6 +11,8 @@ from vellum.sources import convert as C
 from vellum.sources import html, office
 from vellum.sources import pdf as P
 
+TABLE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 @pytest.fixture(scope="module")
 def results(spark):
@@ -93,6 +96,48 @@ def test_flate_and_strings():
     assert "".join(c["text"] for c in P.read_page(doc, doc.pages()[0]).chars) == "a(b)A"
 
 
+def test_stream_filters():
+    import base64
+
+    plain = say(72, 700, "plain text")
+    runs = b"".join(bytes([len(plain[i : i + 100]) - 1]) + plain[i : i + 100].encode() for i in range(0, len(plain), 100)) + b"\x80"
+    coded = {"ASCIIHexDecode": plain.encode().hex().encode() + b">", "ASCII85Decode": base64.a85encode(plain.encode()) + b"~>", "RunLengthDecode": runs, "LZWDecode": lzw(plain.encode())}
+    for name, raw in coded.items():
+        data = pdf("@").replace(b"<< /Length 1 >>\nstream\n@\n", b"<< /Length %d /Filter /%s >>\nstream\n%s\n" % (len(raw), name.encode(), raw))
+        doc = P.Document(data)
+        assert "".join(c["text"] for c in P.read_page(doc, doc.pages()[0]).chars) == "plain text", name
+    assert P._runs(b"\x01ab\xfec\x80zz") == b"abccc" and P._hexadecimal(b"4 1\n4>") == b"A@"
+    long = bytes(range(256)) * 40 + b"ab" * 9000  # through every width of a code, and a cleared table
+    assert P._lzw(lzw(long)) == long
+    assert P._lzw(bytes.fromhex("800B6050220C0C8501")) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])  # the format's own example
+
+
+def lzw(data):
+    codes, table, run = [256], {bytes([i]): i for i in range(256)}, b""
+    for b in data:
+        if run + bytes([b]) in table:
+            run += bytes([b])
+            continue
+        codes.append(table[run])
+        table[run + bytes([b])] = 2 + len(table)
+        if len(table) + 2 > 4090:
+            codes.append(256)
+            table = {bytes([i]): i for i in range(256)}
+        run = bytes([b])
+    codes += [table[run], 257]
+    bits, width, known = "", 9, 0
+    for c in codes:
+        bits += f"{c:0{width}b}"
+        known = 0 if c == 256 else known + 1  # codes since the table was cleared; the reader has one entry less
+        width = 9 if c == 256 else min(12, max(9, (258 + known).bit_length()))
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_epub():
+    book = _zip({"META-INF/container.xml": '<container xmlns="c"><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>', "OPS/book.opf": '<package xmlns="p"><manifest><item id="b" href="two%20.xhtml"/><item id="a" href="one.xhtml"/><item id="x" href="gone.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="x"/><itemref idref="b"/></spine></package>', "OPS/one.xhtml": "<html><body><h1>One</h1><p>first</p></body></html>", "OPS/two .xhtml": "<html><body><p>second</p></body></html>"})
+    assert office.epub(book) == "# One\n\nfirst\n\nsecond" and C._generic(".epub", book) == office.epub(book)
+
+
 def test_html():
     page = "<html><head><title>t</title></head><body><nav>n</nav><ul><li>a<li>b</ul><table><tr><th>h<th>i</tr><tr><td>1</td><td>2|3</td></tr></table><p>x<br>y <a href='u'>z</a></body></html>"
     assert html.to_markdown(page) == "- a\n- b\n\n| h | i |\n| --- | --- |\n| 1 | 2\\|3 |\n\nx\ny [z](u)"
@@ -121,3 +166,21 @@ def test_token_counts_degrade_to_null(spark):
 
     assert d.select(C.count_tokens(F.col("t"), None)).first()[0] is None
     assert d.select(C.count_tokens(F.col("t"), "/nowhere")).first()[0] is None
+
+
+@pytest.mark.skipif(not os.path.exists(TABLE), reason="no byte-pair table")
+def test_token_counts_with_a_table(spark):
+    import base64
+
+    import tiktoken
+    from pyspark.sql import functions as F
+
+    texts = ["", "a b", "Hello, world 2024!", "naïve — 日本", "x" * 1000]
+    with open(TABLE, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("t", pat_str=C.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    d = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = {r["t"]: r["n"] for r in d.select("t", C.count_tokens(F.col("t"), TABLE).alias("n")).collect()}
+    assert got == {None: None} | {t: len(enc.encode_ordinary(t)) for t in texts}
+    row = C.convert_bytes(spark, b"one two three", ".txt", TABLE).first()
+    assert row["tokens_after"] == len(enc.encode_ordinary("one two three"))

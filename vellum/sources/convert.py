@@ -49,10 +49,10 @@ def count_tokens(text: Column, ranks: str | None) -> Column:
 
 
 def _generic(suffix: str, data: bytes) -> str:
-    kinds = {".docx": office.docx, ".pptx": office.pptx, ".xlsx": office.xlsx}
+    kinds = {".docx": office.docx, ".pptx": office.pptx, ".xlsx": office.xlsx, ".epub": office.epub}
     if suffix in kinds:
         return kinds[suffix](data)
-    if data[:4] in (b"PK\x03\x04", b"\xd0\xcf\x11\xe0") or suffix in (".msg", ".xls", ".doc", ".ppt", ".epub"):
+    if data[:4] in (b"PK\x03\x04", b"\xd0\xcf\x11\xe0") or suffix in (".msg", ".xls", ".doc", ".ppt"):
         raise ValueError(f"no reader for {suffix or 'this file'}")
     text = data.decode("utf-8-sig", "replace")
     return html.to_markdown(text) if suffix in (".html", ".htm") or text.lstrip()[:15].lower().startswith(("<!doctype html", "<html")) else text

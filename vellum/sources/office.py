@@ -1,12 +1,16 @@
-"""Word, PowerPoint and Excel files, which are zipped XML.  [SRC8, SRC9]"""
+"""Word, PowerPoint, Excel and EPUB files, which are zipped XML.  [SRC8, SRC9]"""
 
 from __future__ import annotations
 
 import io
 import re
 import zipfile
+from posixpath import dirname, join, normpath
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
+from vellum.sources import html
+
 
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
@@ -76,3 +80,15 @@ def xlsx(data: bytes) -> str:
             width = max(map(len, rows), default=0)
             out.append(_table([r + [""] * (width - len(r)) for r in rows]))
     return "\n\n".join(x for x in out if x)
+
+
+def epub(data: bytes) -> str:
+    """The chapters in the order of the book's spine, each by the HTML reader; chapters that are missing are left out."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        find = lambda root, tag: [x for x in root.iter() if _local(x.tag) == tag]
+        book = find(ElementTree.fromstring(z.read("META-INF/container.xml")), "rootfile")[0].attrib["full-path"]
+        root = ElementTree.fromstring(z.read(book))
+        files = {x.attrib["id"]: normpath(join(dirname(book), unquote(x.attrib["href"]))) for x in find(root, "item")}
+        order = [files.get(x.attrib.get("idref")) for x in find(root, "itemref")]
+        texts = [html.to_markdown(z.read(n).decode("utf-8", "replace")) for n in order if n in z.namelist()]
+    return "\n\n".join(t for t in texts if t)
