@@ -60,7 +60,7 @@ def release(rendered: DataFrame) -> None:
 
 
 def render_pages(pages: DataFrame, chars: DataFrame, words: DataFrame, cells: DataFrame, mode: str = "rowfill") -> DataFrame:
-    """[CMP3, CMP9, CMP12] pages (doc_id, page_no, x0, top, x1, bottom), chars (.., char_seq, text, size, upright), words,
+    """[CMP3, CMP9, CMP12, FLT5] pages (doc_id, page_no, x0, top, x1, bottom), chars (.., char_seq, text, size, upright), words,
     cells (.., grid_id, row, col) -> (doc_id, page_no, text), pages without any text left out.
 
     mode rowfill: grids that pass the row-fill vote and are no chart debris, frames around them dropped. mode ct120: grids of
@@ -90,7 +90,7 @@ def render_pages(pages: DataFrame, chars: DataFrame, words: DataFrame, cells: Da
     is_grid = F.lit(True) if mode != "legacy" else (F.size("rows") > 1) & (F.size(F.element_at("rows", 1)) > 1)
     tables = tables.select(*PAGE, column.alias("column"), "top", is_grid.alias("is_grid"), F.col("grid_id").cast("long").alias("seq"), table.alias("text")).where("text is not null")
     prose = G.outside_cells(chars, kept_cells).join(gutter, PAGE, "left").withColumn("column", column)
-    lines = G.words_and_lines(prose, [*PAGE, "column"]).where(F.col("text") != "")
+    lines = G.words_and_lines(prose, [*PAGE, "column"]).where(T.strip(F.col("text")) != "")  # FLT5
     lines = lines.select(*PAGE, "column", "top", F.lit(False).alias("is_grid"), F.col("line").cast("long").alias("seq"), "text")
     out = paragraphs(tables.unionByName(lines))  # SET5
     out._held = (chars, cells, kept)
