@@ -1,5 +1,6 @@
 """PDF files made in code, one for each behaviour of the page engine."""
 
+#: The font sizes, and the gaps of 274 and 123 thousandths below, lie on either side of the word gap's threshold.
 SIZE = 10.56
 
 
@@ -39,24 +40,24 @@ def two_columns(lines=10, words=4):
 
 
 FILES = {
-    "gapped": pdf(f"BT /F1 {SIZE} Tf 72 700 Td [(different) -274 (stationary)] TJ ET\n"),
-    "gapped_small": pdf("BT /F1 6.0 Tf 72 700 Td [(different) -123 (stationary)] TJ ET\n"),
-    "ruled": pdf(say(72, 740, "Some prose.") + grid(72, 640, [["Header A", "Header B"], ["a1", "b1"], ["a2", "b2"]])),
-    "key_value": pdf(grid(72, 640, [["Frame type:", "Aluminium"]])),
+    "gapped": pdf(f"BT /F1 {SIZE} Tf 72 700 Td [(harvest) -274 (ledger)] TJ ET\n"),
+    "gapped_small": pdf("BT /F1 6.0 Tf 72 700 Td [(harvest) -123 (ledger)] TJ ET\n"),
+    "ruled": pdf(say(72, 740, "A line above.") + grid(72, 640, [["Item", "Price"], ["a1", "b1"], ["a2", "b2"]])),
+    "key_value": pdf(grid(72, 640, [["Colour:", "blue oak"]])),
     "pipe": pdf(grid(72, 640, [["H1", "H2"], ["x|y", "z"], ["u", "v"]])),
     "pipe_line": pdf(grid(72, 640, [["a|b", "plain"]])),
-    "framed": pdf(box(60, 500, 400, 200) + rule(60, 600, 460, 600) + say(72, 650, "First framed line") + say(72, 550, "Second framed line")),
+    "framed": pdf(box(60, 500, 400, 200) + rule(60, 600, 460, 600) + say(72, 650, "A note in a frame") + say(72, 550, "and what follows it")),
     "blank_row": pdf(grid(72, 640, [["H1", "H2"], ["", ""], ["a", "b"]])),
     "prose": pdf(say(72, 700, "Only prose here.")),
     "image": pdf("100 100 200 200 re f\n"),
     "text_then_image": pdf(say(72, 700, "Page one."), "100 100 200 200 re f\n"),
-    "offset": pdf(say(72, 700, "Late header."), lead=b"\r\n"),
-    "frame_with_table": pdf(box(60, 400, 480, 330) + rule(60, 690, 540, 690) + say(72, 700, "Frame title") + grid(90, 600, [["H1", "H2"], ["a", "b"], ["c", "d"]])),
+    "offset": pdf(say(72, 700, "Begins late."), lead=b"\r\n"),
+    "frame_with_table": pdf(box(60, 400, 480, 330) + rule(60, 690, 540, 690) + say(72, 700, "List of parts") + grid(90, 600, [["H1", "H2"], ["a", "b"], ["c", "d"]])),
     "two_columns": pdf(two_columns()),
     "spanned": pdf(two_columns() + grid(200, 400, [["S1", "S2"], ["t1", "t2"]])),
     "one_column": pdf("".join(say(72, 700 - 20 * i, " ".join(f"word{i}x{w}" for w in range(8)), 9) for i in range(15))),
     "few_words": pdf(two_columns(3, 4)),
     "rotated": pdf(grid(72, 640, [["H1", "H2"], ["a", "b"], ["c", "d"]]) + "".join(f"BT /F1 9 Tf 0 1 -1 0 {100 + 12 * i} 600 Tm (axis) Tj ET\n" for i in range(8))),
-    "nested": pdf(rule(72, 700, 312, 700) + rule(72, 676, 312, 676) + rule(192, 652, 312, 652) + rule(72, 628, 312, 628) + rule(72, 628, 72, 700) + rule(312, 628, 312, 700) + rule(192, 628, 192, 700) + say(76, 684, "Header") + say(196, 684, "Value") + say(196, 660, "4242") + say(196, 636, "1717") + say(76, 650, "Side")),
+    "nested": pdf(rule(72, 700, 312, 700) + rule(72, 676, 312, 676) + rule(192, 652, 312, 652) + rule(72, 628, 312, 628) + rule(72, 628, 72, 700) + rule(312, 628, 312, 700) + rule(192, 628, 192, 700) + say(76, 684, "Crop") + say(196, 684, "Yield") + say(196, 660, "9104") + say(196, 636, "5523") + say(76, 650, "Field")),
     "broken": b"%PDF-1.4\nnothing",
 }
