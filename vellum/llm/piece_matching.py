@@ -28,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _INF = np.int64(1) << 40
 #: Bytes of text that one step handles, and characters of distinct segments that one suffix array indexes.
-STEP_CHARS, INDEX_CHARS = 1_000_000, 250_000
+STEP_CHARS, INDEX_CHARS = 500_000, 150_000
 #: Segments kept between steps, each of at most so many characters; longer segments are relaxed with a heap.
 KEPT_SEGMENTS, KEPT_CHARS, HEAP_CHARS = 200_000, 64, 2_000
 
