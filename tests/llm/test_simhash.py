@@ -254,3 +254,18 @@ def test_copies_with_blocks_added_cut_and_replaced_go(spark):
     assert len(far) < 60
     kept = near_copies.without_near_copies(odd.frame(spark, data))
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted([*range(0, len(data), 2), *far])
+
+
+def test_cells_are_no_broadcast_table(spark, monkeypatch):
+    plans = []
+
+    def noted(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return connected_components(edges)
+
+    monkeypatch.setattr(simhash, "connected_components", noted)
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d f")], "doc_id long, text string")
+    out = simhash.simhash_components(docs)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 3 and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)
+    assert out.count() == 2

@@ -48,6 +48,12 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df as a side of a join that deals both sides by the key. The planner takes exploded rows and what Python returns for as
+    small as what they come from, and would have the driver build a broadcast table of them."""
+    return df.hint("merge")
+
+
 class Bucketed:
     """A scratch table whose rows lie in buckets by a key: joins on the key do not shuffle it. `name` is its entry in the
     session's catalog, to be dropped once nothing is planned over it any more."""

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small_batches
+from .common import dealt, materialize, slices, small_batches
 from .components import connected_components
 
 SEGMENTS = 32
@@ -151,7 +151,7 @@ def _links(rooted: DataFrame, radius: int, slabs: int, most: int) -> DataFrame:
         (F.col("x.cell") == F.col("y.cell")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root"))
         & (manhattan(F.col("x.fp"), F.col("y.fp"), slabs) <= radius) & (hamming(F.col("x.fp"), F.col("y.fp")) <= radius)
     )
-    links = x.join(y, near).select(F.col("x.root").alias("a"), F.col("y.root").alias("b"))
+    links = x.join(dealt(y), near).select(F.col("x.root").alias("a"), F.col("y.root").alias("b"))
     if finest or not found:
         return links
     hot = materialize(cells.join(large.where("p <> q").select("cell"), "cell", "left_semi").select("fp", "root").distinct(), "hot")
@@ -168,12 +168,12 @@ def fingerprint_components(fps: DataFrame, radius: int = 4, slabs: int | None =
     cells = _celled(points, radius, slabs).alias("x")
     ends = _celled(points, radius, slabs).groupBy("cell").agg(F.min("fp").alias("p"), F.max("fp").alias("q")).alias("e")
     linked = lambda end: (F.col("x.fp") != F.col(end)) & (hamming(F.col("x.fp"), F.col(end)) <= radius)
-    stars = cells.join(ends, (F.col("x.cell") == F.col("e.cell")) & (linked("e.p") | linked("e.q")))
+    stars = cells.join(dealt(ends), (F.col("x.cell") == F.col("e.cell")) & (linked("e.p") | linked("e.q")))
     stars = stars.select(F.col("x.fp").alias("b"), F.explode(F.array(F.when(linked("e.p"), F.col("e.p")), F.when(linked("e.q"), F.col("e.q")))).alias("a")).where("a is not null")
     roots = connected_components(stars.select("a", "b"))
-    rooted = materialize(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")), "rooted")
+    rooted = materialize(points.join(dealt(roots.withColumnRenamed("node", "fp")), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")), "rooted")
     across = connected_components(_links(rooted, radius, slabs, most))
-    return rooted.join(across.withColumnRenamed("node", "root"), "root", "left").select("fp", F.coalesce("component", "root").alias("root"))
+    return rooted.join(dealt(across.withColumnRenamed("node", "root")), "root", "left").select("fp", F.coalesce("component", "root").alias("root"))
 
 
 def simhash_components(docs: DataFrame, shingle_words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,9 +186,9 @@ def simhash_components(docs: DataFrame, shingle_words: int = 4, radius: int = 4,
         fps = materialize(fingerprints(docs, shingle_words, id_col, text_col), "fps")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = fingerprint_components(fps, radius)
-    named = roots.join(least, "fp")
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    out = fps.join(named, "fp")
+    named = roots.join(dealt(least), "fp")
+    named = named.join(dealt(named.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("fp", "component_id")
+    out = fps.join(dealt(named), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
