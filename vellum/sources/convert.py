@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
 from vellum.functions import text as T
+from vellum.operators import geometry as G
 from vellum.operators import render as R
 from vellum.sources import html, office, pdf
 
@@ -95,8 +96,8 @@ def convert(files: DataFrame, ranks: str | None = None) -> DataFrame:
     decoded = pdf.decode(pdfs).persist()
     texts = R.render_documents(*pdf.parts(decoded))
     of = decoded.where(F.col("kind").isin("error", "page")).groupBy("doc_id").agg(F.max(F.when(F.col("kind") == "error", F.coalesce("text", F.lit("")))).alias("error"), F.nullif(F.count_if(F.col("kind") == "page").cast("int"), F.lit(0)).alias("units"))
-    left = pdfs.select("path", "suffix").join(of, F.col("path") == F.col("doc_id"), "left").drop("doc_id")
-    left = left.join(texts, F.col("path") == F.col("doc_id"), "left").drop("doc_id")
+    left = pdfs.select("path", "suffix").join(G.dealt(of), F.col("path") == F.col("doc_id"), "left").drop("doc_id")
+    left = left.join(G.dealt(texts), F.col("path") == F.col("doc_id"), "left").drop("doc_id")
     left = left.select("path", "suffix", F.when(F.col("error").isNull(), F.coalesce("text", F.lit(""))).alias("text"), "error", "units")
     right = others.withColumn("o", _other("suffix", "content"))
     right = right.select("path", "suffix", F.col("o.text").alias("text"), F.col("o.error").alias("error"), _units("suffix", "content").alias("units"))
