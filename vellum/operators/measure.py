@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.operators import corpus
+from vellum.operators import geometry as G
 from vellum.operators import render as R
 from vellum.sources import convert, pdf
 
@@ -32,12 +33,12 @@ def measure_files(files: DataFrame, ranks: str | None = None) -> DataFrame:
     decoded = pdf.decode(files.select("path", "content")).persist()
     parts = pdf.parts(decoded)
     errors = decoded.where("kind = 'error'").groupBy("doc_id").agg(F.max("text").alias("unreadable"))
-    rows = files.select(F.col("path").alias("doc_id"), F.col("length").alias("bytes")).join(analyse(decoded), "doc_id", "left").join(errors, "doc_id", "left")
+    rows = files.select(F.col("path").alias("doc_id"), F.col("length").alias("bytes")).join(G.dealt(analyse(decoded)), "doc_id", "left").join(G.dealt(errors), "doc_id", "left")
     held = ()
     for engine, mode in ENGINES.items():
         text = R.render_documents(*parts, mode=mode)
         held += text._held
-        rows = rows.join(text.withColumnRenamed("text", engine), "doc_id", "left").withColumns({f"{engine}_tokens": convert.count_tokens(F.col(engine), ranks).cast("long"), f"{engine}_s": F.lit(None).cast("double"), f"{engine}_error": F.col("unreadable")})
+        rows = rows.join(G.dealt(text.withColumnRenamed("text", engine)), "doc_id", "left").withColumns({f"{engine}_tokens": convert.count_tokens(F.col(engine), ranks).cast("long"), f"{engine}_s": F.lit(None).cast("double"), f"{engine}_error": F.col("unreadable")})
     rows = rows.withColumns({"base": F.coalesce("base", F.lit("")), "grids": F.coalesce("grids", F.lit(0)), "notext": F.coalesce("notext", F.lit(0))})
     for engine in ENGINES:
         rows = corpus.score(rows, engine)
