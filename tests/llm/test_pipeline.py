@@ -59,3 +59,16 @@ def test_entry():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_stages_hand_python_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    try:
+        for setting, most in (("10000", 500), ("0", 500), ("20", 20)):
+            spark.conf.set(name, setting)
+            assert P.encode(spark, docs, "").count() == 1
+            assert int(spark.conf.get(name)) == most
+    finally:
+        spark.conf.set(name, before)

@@ -126,6 +126,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def keep_batches_small(spark: SparkSession, rows: int = 500) -> None:
+    """small_batches() for the rest of the session: for rows that are planned now and run by the caller later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, min(rows, before) if before > 0 else rows)
+
+
 def crc_fold(id_col: Column, folds: int = 3) -> Column:
     """crc32 of the id as text, modulo folds (null ids: null)."""
     return F.crc32(id_col.cast("string").cast("binary")) % folds
