@@ -65,7 +65,7 @@ def test_whole_pages_are_rendered_as_by_joins(spark):
     assert len({v for k, v in got.items() if k[2] == "rowfill"} - {v for k, v in got.items() if k[2] == "legacy"}) > 5
 
 
-@pytest.mark.parametrize("name", ["render_page", "variant_sweep"])
+@pytest.mark.parametrize("name", ["render_page", "variant_sweep", "pdf_convert"])
 def test_pages_are_rendered_without_moving_their_characters(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "InMemoryTableScan" not in plan

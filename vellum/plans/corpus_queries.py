@@ -148,7 +148,8 @@ PDF = " || ".join([
 
 
 def _pdfs(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.expr("c_custkey || '.pdf'").alias("path"), F.expr(PDF).alias("t"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a small file of them is a lot of bytes
+    c = c.select(F.expr("c_custkey || '.pdf'").alias("path"), F.expr(PDF).alias("t"))
     return c.select("path", F.length("t").cast("long").alias("length"), F.col("t").cast("binary").alias("content"))
 
 

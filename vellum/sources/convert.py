@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
 from vellum.functions import text as T
-from vellum.operators import geometry as G
-from vellum.operators import render as R
 from vellum.sources import html, office, pdf
 
 #: Word pattern of the byte-pair encoding that counts are made with (a fixed public value).
@@ -87,25 +85,19 @@ def convert(files: DataFrame, ranks: str | None = None) -> DataFrame:
     """[CMP5, FLT1] files (path, content[, suffix]) -> (path, text, error, tokens_after, tokens_before, unit, units).
 
     PDFs by suffix and magic go through the page engine; all else through the generic readers. Both branches read each file
-    once more than the routing, which looks at its first kilobyte alone. A file is parsed once; its bytes are in no shuffle: pages
-    are counted among the parsed rows, which are kept until release(). A file that fails keeps its row, with the error."""
+    once more than the routing, which looks at its first kilobyte alone. A file is parsed once and rendered where it is parsed;
+    nothing is shuffled or kept. A file that fails keeps its row, with the error."""
     f = files if "suffix" in files.columns else files.withColumn("suffix", T.suffix_of(F.col("path")))
     f = f.select("path", F.lower("suffix").alias("suffix"), "content")
     own = T.is_own_pdf(F.col("suffix"), F.col("content"))
     pdfs, others = f.where(own), f.where(~own)
-    decoded = pdf.decode(pdfs).persist()
-    texts = R.render_documents(*pdf.parts(decoded))
-    of = decoded.where(F.col("kind").isin("error", "page")).groupBy("doc_id").agg(F.max(F.when(F.col("kind") == "error", F.coalesce("text", F.lit("")))).alias("error"), F.nullif(F.count_if(F.col("kind") == "page").cast("int"), F.lit(0)).alias("units"))
-    left = pdfs.select("path", "suffix").join(G.dealt(of), F.col("path") == F.col("doc_id"), "left").drop("doc_id")
-    left = left.join(G.dealt(texts), F.col("path") == F.col("doc_id"), "left").drop("doc_id")
-    left = left.select("path", "suffix", F.when(F.col("error").isNull(), F.coalesce("text", F.lit(""))).alias("text"), "error", "units")
+    left = pdf.texts(pdfs, ["rowfill"])
+    left = left.select("path", "suffix", F.when(F.col("error").isNull(), F.coalesce("rowfill", F.lit(""))).alias("text"), "error", "units")
     right = others.withColumn("o", _other("suffix", "content"))
     right = right.select("path", "suffix", F.col("o.text").alias("text"), F.col("o.error").alias("error"), _units("suffix", "content").alias("units"))
     out = left.unionByName(right)
     units = F.when(F.col("suffix").isin(".pdf", ".pptx"), F.col("units"))
-    out = out.select("path", "text", "error", count_tokens(F.col("text"), ranks).alias("tokens_after"), T.tokens_before(F.col("suffix"), units).alias("tokens_before"), F.when(units.isNotNull(), T.unit_of(F.col("suffix"))).alias("unit"), units.alias("units"))
-    out._held = (decoded, *texts._held)
-    return out
+    return out.select("path", "text", "error", count_tokens(F.col("text"), ranks).alias("tokens_after"), T.tokens_before(F.col("suffix"), units).alias("tokens_before"), F.when(units.isNotNull(), T.unit_of(F.col("suffix"))).alias("unit"), units.alias("units"))
 
 
 def convert_path(spark: SparkSession, path: str, ranks: str | None = None) -> DataFrame:
