@@ -75,3 +75,13 @@ def test_runs_are_characters_in_equal_steps(spark):
     run = spark.createDataFrame([(1, "page", 1, 0.0, 0.0, 612.0, 792.0, None), (1, "run", 1, 10.0, 10.0, 40.0, 20.0, "ab cd é"[:6]), (1, "run", 1, 90.0, 10.0, 100.0, 20.0, "xy")], "doc_id int, kind string, page_no int, x0 double, top double, x1 double, bottom double, text string")
     run = run.withColumns({"size": F.lit(10.0), "upright": F.lit(True), "grid_id": F.lit(None).cast("int"), "row": F.lit(None).cast("int"), "col": F.lit(None).cast("int")}).coalesce(1)
     assert [r["text"] for r in R.render_parts(run, ["rowfill"]).collect()] == ["ab cd xy"]
+
+
+def test_measuring_moves_no_character_and_broadcasts_nothing_once_its_scores_are_kept(spark):
+    query = lambda: registry.queries()["corpus_measure"](spark, "/root/testdata/sf0.001")
+    first = query()
+    first.collect()
+    plan = query()._jdf.queryExecution().executedPlan().toString()
+    R.release(first)
+    assert "Broadcast" not in plan
+    assert "kind" not in plan

@@ -109,7 +109,7 @@ def exact_medians(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     holds = lambda before, n: ((low > before) & (low <= before + n)) | ((high > before) & (high <= before + n))
     middle = ranges.where(holds(F.col("before"), F.col("n"))).select("name", "range", "before", "all")
     inside = Window.partitionBy("name", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    v = values.join(middle, ["name", "range"]).withColumn("at", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    v = values.join(middle.hint("merge"), ["name", "range"]).withColumn("at", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     return v.where(holds(F.col("at"), F.col("n"))).groupBy("name").agg(((F.min("v") + F.max("v")) / 2).alias("median"))
 
 
@@ -136,7 +136,7 @@ def report(rows: DataFrame, engines: tuple[str, str], stock: str) -> DataFrame:
     picked = {f"{e} {c}": F.when(well, F.col(f"{e}.{c}")) for e in engines for c in ("s", "glued", "digit_deficit")}
     middle = exact_medians(rows, picked).select(F.split_part("name", F.lit(" "), F.lit(1)).alias("engine"), F.split_part("name", F.lit(" "), F.lit(2)).alias("what"), "median")
     middle = middle.groupBy("engine").agg(*[F.max(F.when(F.col("what") == c, F.col("median"))).alias(f"median_{c}") for c in ("s", "glued", "digit_deficit")])
-    out = wide.select(F.inline(F.array(*each))).join(middle, "engine", "left")
+    out = wide.select(F.inline(F.array(*each))).join(middle.hint("merge"), "engine", "left")
     out = out.select("engine", *[c for c in out.columns if c != "engine" and not c.startswith("median_")], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in middle.columns if c != "engine"])
     out._held = (rows, *held)
     return out

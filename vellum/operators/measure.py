@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.operators import corpus
-from vellum.operators import geometry as G
-from vellum.operators import render as R
 from vellum.sources import convert, pdf
 
 #: The selections that are held against each other: the engine's, and tables without validation.
@@ -28,23 +26,15 @@ def analyse(decoded: DataFrame) -> DataFrame:
 
 def measure_files(files: DataFrame, ranks: str | None = None) -> DataFrame:
     """[CMP7, CMP6] files (path, length, content) -> (file, bytes, base, grids, notext, unreadable, and for each engine a struct
-    of its metrics), a row for each file; one that cannot be read has its reason and no metrics. Each file is parsed once, its
-    parts are kept until render.release()."""
-    decoded = pdf.decode(files.select("path", "content")).persist()
-    parts = pdf.parts(decoded)
-    errors = decoded.where("kind = 'error'").groupBy("doc_id").agg(F.max("text").alias("unreadable"))
-    rows = files.select(F.col("path").alias("doc_id"), F.col("length").alias("bytes")).join(G.dealt(analyse(decoded)), "doc_id", "left").join(G.dealt(errors), "doc_id", "left")
-    held = ()
-    for engine, mode in ENGINES.items():
-        text = R.render_documents(*parts, mode=mode)
-        held += text._held
-        rows = rows.join(G.dealt(text.withColumnRenamed("text", engine)), "doc_id", "left").withColumns({f"{engine}_tokens": convert.count_tokens(F.col(engine), ranks).cast("long"), f"{engine}_s": F.lit(None).cast("double"), f"{engine}_error": F.col("unreadable")})
-    rows = rows.withColumns({"base": F.coalesce("base", F.lit("")), "grids": F.coalesce("grids", F.lit(0)), "notext": F.coalesce("notext", F.lit(0))})
+    of its metrics), a row for each file; one that cannot be read has its reason and no metrics. Each file is parsed once and
+    rendered by both selections where it is parsed; only texts and numbers leave the task, in no shuffle."""
+    rows = pdf.texts(files.select(F.col("path").alias("doc_id"), F.col("length").alias("bytes"), "content"), list(ENGINES.values()))
+    rows = rows.select("doc_id", "bytes", "base", "grids", "notext", F.col("error").alias("unreadable"), *[F.col(mode).alias(engine) for engine, mode in ENGINES.items()])
+    for engine in ENGINES:
+        rows = rows.withColumns({f"{engine}_tokens": convert.count_tokens(F.col(engine), ranks).cast("long"), f"{engine}_s": F.lit(None).cast("double"), f"{engine}_error": F.col("unreadable")})
     for engine in ENGINES:
         rows = corpus.score(rows, engine)
-    out = rows.withColumnRenamed("doc_id", "file").drop(*[f"{e}_{x}" for e in ENGINES for x in ("tokens", "s")])
-    out._held = (decoded, *held)
-    return out
+    return rows.withColumnRenamed("doc_id", "file").drop(*[f"{e}_{x}" for e in ENGINES for x in ("tokens", "s")])
 
 
 def measure(spark: SparkSession, roots: list[str], *, ranks: str | None = None, limit: int = corpus.DEFAULT_LIMIT, sample: int | None = None, seed: int = 0) -> DataFrame:
